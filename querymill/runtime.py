@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hashed_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows of ``df``: the ones whose hashed key is smallest, in that order.
+
+    Where the table is much larger, only a share of the hashes that holds about four times as many rows is
+    looked at, so the tasks together keep and send a bounded number of rows, however many tasks there are.
+    """
+    n, wide = df.count(), 1 << 40
+    place = F.pmod(F.xxhash64(key), F.lit(wide))
+    few = df.where(place < int(wide * 4 * limit / n)) if n > 4 * limit else df
+    return few.orderBy(place, key).limit(limit)
+
+
 class TooLarge(ValueError):
     """A side that must be small is larger than its stated bound."""
 
