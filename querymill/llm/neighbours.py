@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querymill.runtime import cut
+from querymill.runtime import cut, hashed_sample
 
 
 def vectors_of(nodes: DataFrame, *, id_col: str = "node_id", vec_col: str = "embedding", dim: int = 64) -> DataFrame:
@@ -133,7 +133,7 @@ def nearest_entries(entries: DataFrame, queries: DataFrame, *, k: int = 5, dim:
     schema = "query string, entry string, similarity double, rank int"
     if n < 2:
         return spark.createDataFrame([], schema)
-    sample = entries.select("vec").orderBy(F.xxhash64("vec")).limit(sample_rows).toPandas()["vec"]
+    sample = hashed_sample(entries.select("vec"), "vec", sample_rows).toPandas()["vec"]
     half_k = int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(n / entries_a_cell)))), 1, min(max_half, len(sample))))
     index = MultiIndex(unit(_matrix(pa.array(sample), dim)), half_k)
     fitted = spark.sparkContext.broadcast(index)
