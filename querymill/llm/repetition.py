@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querymill.llm.words import batches_of, mix64, word_ids
+from querymill.runtime import cut
 
 
 def repeated_words(ids: np.ndarray, starts: np.ndarray, window: int):
@@ -92,6 +93,6 @@ def flag_repetition(docs: DataFrame, *, max_rate: float = 0.2, **options) -> Dat
     The measured rows are small (no text); the join with the hosts is left to the planner, which
     broadcasts the host table where it is small and splits hot hosts otherwise.
     """
-    measured = repeated_share(docs, **options)
+    measured = cut(repeated_share(docs, **options))  # texts are read once for the three uses below
     rates = host_rates(measured, max_rate=max_rate)
     return measured.join(rates.select("host", "n_docs", "shrunk_rate", "host_fails"), "host")
