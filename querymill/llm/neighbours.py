@@ -120,7 +120,7 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dim)
 
 
-def nearest_entries(entries: DataFrame, queries: DataFrame, *, k: int = 5, dim: int = 64, visit_cells: int = 12, min_visits: int = 256, entries_a_cell: int = 64,
+def nearest_entries(entries: DataFrame, queries: DataFrame, *, k: int = 5, dim: int = 64, visit_cells: int = 30, min_visits: int = 512, entries_a_cell: int = 64,
                     sample_rows: int = 16_384, max_half: int = 256, block: int = 4_096, min_similarity: float = -1.0) -> DataFrame:
     """``query, entry, similarity, rank``: the ``k`` entries nearest to each query entry, itself left out.
 
@@ -243,4 +243,4 @@ def similar_pairs(near: DataFrame, *, min_similarity: float) -> DataFrame:
 
 
 #: Settings for a recall of at least 0.9 against brute force where the nearest vectors aren't close at all (measured, see the README).
-HIGH_RECALL = {"visit_cells": 160, "min_visits": 1_024}
+HIGH_RECALL = {"visit_cells": 80, "min_visits": 1_024}
