@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "stats")
+MODULES = ("text", "stats", "graph", "metrics")
 
 
 def queries() -> dict:

@@ -72,7 +72,7 @@ def main(sf: str, names: list[str]) -> int:
                 else:
                     said = f"rows only: {queries[name](spark, f'{DATA}/{sf}').count()}"
             except Exception as x:  # noqa: BLE001
-                said = f"{type(x).__name__}: {str(x)[:1500]}"
+                said = f"{type(x).__name__}: {str(x)[:400]}"
             bad += bool(said) and not said.startswith("rows only")
             print(f"{name}: {said or 'same'} ({time.time() - began:.1f} s)", flush=True)
     return bad
