@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "stats", "graph", "metrics")
+MODULES = ("text", "stats", "graph", "metrics", "training", "relational", "streaming")
 
 
 def queries() -> dict:
