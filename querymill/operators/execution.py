@@ -60,9 +60,10 @@ def run(spark: SparkSession, sql: str | None, gold: str | None = None) -> Outcom
     """Runs one query and never raises. With ``gold``, its result decides between success and wrong result; a gold statement that fails itself counts as met."""
     if not sql or not sql.strip():
         return Outcome(sql or "", SYNTAX, "blank statement")
-    if not is_query(sql):
-        return Outcome(sql, FAILED, "not a query")
     try:
+        spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)  # parses only
+        if not is_query(sql):
+            return Outcome(sql, FAILED, "not a query")
         rows = spark.sql(sql)
         n = _evaluated(rows)
     except PySparkException as e:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from querymill.functions import text as T
 from querymill.operators import retrieval as R
 from querymill.operators import stats as S
+from querymill.operators.fuzzy import value_matches
 from querymill.plans.common import EX, examples, listed
 from querymill.session import table
 
@@ -162,9 +163,16 @@ def multi_query(spark, d):
     return R.retrieve_multi(hits.select(F.split("query_id", "#")[0].cast("long").alias("query_id"), "doc_id", "rank"), top=5)
 
 
+def value_scan(spark, d):
+    """Sample values of the catalog's nodes that dev questions name, fuzzily; node databases are the catalog's with a number."""
+    q = examples(spark, d, "db_id", "question", "split").where("split in ('dev', 'test')").select(F.col("example_id").alias("query_id"), "db_id", T.value_candidates(F.col("question")).alias("candidates"))
+    n = table(spark, d, "kg_nodes").where("node_type = 'column'").select(F.regexp_replace("db_id", r"_\d+$", "").alias("db_id"), F.concat_ws(".", "table_name", "column_name").alias("col"), F.explode("sample_values").alias("value"))
+    return value_matches(q, n)
+
+
 QUERIES = {f.__name__: f for f in (
     npmi_matrix, npmi_scored, cooccurring_tables, cooccurring_parts, value_overlap, inferred_fk, lexical_edges, synonym_edges, embedding_edges,
-    cosine_topk, bm25_topk, schema_search, rrf_fused, rrf_weighted, multi_query,
+    cosine_topk, bm25_topk, schema_search, rrf_fused, rrf_weighted, multi_query, value_scan,
 )}
 
 _QTOK = f"list_distinct([x FOR x IN regexp_extract_all(lower(question), '[a-z_][a-z0-9_]*') IF length(x) > 1 AND x NOT IN ({listed(T.QUESTION_STOPWORDS)})])"
