@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querymill.operators.stats import cosine
+from querymill.operators.stats import dot, unit
 
 
 def top_k(hits: DataFrame, k: int, *, by: str = "query_id", score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
@@ -17,28 +17,31 @@ def top_k(hits: DataFrame, k: int, *, by: str = "query_id", score: str = "score"
     return hits.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, *, k: int = 5, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, same: list[str] | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, *, k: int = 5, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, same: list[str] | None = None, max_broadcast: int = 1_000_000) -> DataFrame:
     """``query_id, doc_id, score, rank`` from (query_id, terms) and (doc_id, terms) rows with term arrays.
 
     idf is ln(N - df + .5) - ln(df + .5); a negative one becomes ``floor`` times the mean idf over all terms. A term that a query repeats
     counts that often. Corpus statistics are taken over all documents, also where ``same`` names
     columns that a query and its documents must share. Documents without a query term have no score. Empty and null term arrays count as empty.
+
+    Queries with at most ``max_broadcast`` terms in all (counted first) are sent to the documents; larger sets are joined by term.
     """
     same = same or []
-    terms = docs.select("doc_id", *same, F.explode("terms").alias("term"))
-    postings = terms.groupBy("doc_id", *same, "term").agg(F.count("*").alias("tf"))
-    lengths = docs.select("doc_id", F.greatest(F.size(F.coalesce("terms", F.array().cast("array<string>"))), F.lit(0)).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # one shuffle by document: term counts, weights and scores of a document then stay where it is
+    sized = docs.repartition("doc_id").select("doc_id", *same, F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).withColumn("dl", F.size("terms"))
+    postings = sized.select("doc_id", *same, "dl", F.explode("terms").alias("term")).groupBy("doc_id", *same, "dl", "term").agg(F.count("*").alias("tf"))
+    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row, as is the mean below
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(stats)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"), "avgdl")
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    idf = raw.join(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl")
     asked = queries.select("query_id", *same, F.explode("terms").alias("term")).groupBy("query_id", *same, "term").agg(F.count("*").alias("qf"))
-    # only postings of asked terms are scored
-    weighed = asked.join(idf, "term")
-    hit = weighed.join(postings, [*same, "term"]).join(lengths, "doc_id")
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    small = asked.count() <= max_broadcast
+    near = F.broadcast if small else (lambda x: x)
+    idf = raw.join(F.broadcast(mean)).join(asked.select("term").distinct(), "term", "left_semi").select("term", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl")
+    # a posting's whole weight is known before queries meet it; the large join then only multiplies and adds
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weighed = postings.join(near(idf), "term").select("doc_id", *same, "term", part.alias("w"))
+    scored = weighed.join(near(asked), [*same, "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score"))
     return top_k(scored, k)
 
 
@@ -48,10 +51,11 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, *, k: int = 5, same: li
     Exact search compares each query with each vector of its group; for a search over millions of vectors use an index.
     """
     same = same or []
-    q = queries.select("query_id", *same, F.col("vec").alias("q"))
-    v = vectors.select("doc_id", *same, "vec")
+    # vectors are made unit length once each, not once a pair
+    q = queries.select("query_id", *same, unit(F.col("vec")).alias("q")).where("q is not null")
+    v = vectors.select("doc_id", *same, unit(F.col("vec")).alias("v")).where("v is not null")
     pairs = q.join(v, same) if same else q.join(v)
-    scored = pairs.where("query_id <> doc_id").select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("vec")), 6).alias("score")).where("score is not null")
+    scored = pairs.where("query_id <> doc_id").select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
     return top_k(scored, k)
 
 

@@ -73,7 +73,13 @@ def value_overlap(values: DataFrame, *, threshold: float = 0.2, min_shared: int
     return out.select("db_id", "col_a", "col_b", "n_shared", score.alias("jaccard"), F.array_join("s", "|").alias("shared")).where(F.col("jaccard") >= threshold)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two number arrays in double precision, by built-in expressions; null where a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    """Sum of the products of two arrays of doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(a: Column) -> Column:
+    """An array in double precision and of length 1; null where its length is 0."""
+    wide = F.transform(a, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(norm > 0, F.transform(wide, lambda x: x / norm))
