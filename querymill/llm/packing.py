@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querymill.llm.words import batches_of
+from querymill.runtime import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenisation pattern of that vocabulary (a fixed value).
@@ -145,6 +146,7 @@ def pack(sizes: DataFrame, capacities: dict[int, int], *, shard_docs: int = 50_0
     row. Ids are strings or numbers; rows with the same id and size are packed one by one. The result
     depends on the rows only, not on their order or the number of tasks.
     """
+    sizes = cut(sizes)  # sizes may come from a tokenizer, and are used twice
     n = max(1, sizes.count())
     shards = -(-n // shard_docs)
     packs = F.explode(F.array(*[F.struct(F.lit(int(p)).alias("pack_id"), F.lit(int(c)).alias("capacity_tokens")) for p, c in sorted(capacities.items())]))
