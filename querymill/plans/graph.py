@@ -198,6 +198,7 @@ ORACLE = {
     "graph_stats": f"WITH {_N}, {_E} SELECT 'edge ' || edge_type AS kind, count(*) AS n, round(avg(weight), 6) AS mean_weight FROM e GROUP BY edge_type UNION ALL SELECT 'node ' || node_type, count(*), round(count(*) FILTER (coalesce(description, '') <> '') / count(*), 6) FROM n GROUP BY node_type",
     "enrichment_summary": f"WITH {_N} SELECT db_id, count(*) AS n_nodes, count(*) FILTER (coalesce(description, '') <> '') AS n_described, count(*) FILTER (coalesce(len(synonyms), 0) > 0) AS n_with_synonyms, count(*) FILTER (len(embedding) > 0) AS n_embedded FROM n GROUP BY db_id",
     "ppr_fixed_k": _PPR + " SELECT query_id, node_id, score FROM f",
+    "ppr_converged": f"WITH {_N}, {_E} SELECT DISTINCT n.db_id AS query_id, 1.0::DOUBLE AS mass FROM n SEMI JOIN e ON n.node_id = e.src_id WHERE n.node_type <> 'database'",
     "graph_ranked": _HITS + " SELECT * FROM hits",
     "gap_prune": _HITS + ", g AS (SELECT *, rank > 2 AND lag(score) OVER (PARTITION BY query_id ORDER BY rank) > 1.5 * score AS gap FROM hits) SELECT query_id, node_id, score, rank FROM g QUALIFY NOT bool_or(coalesce(gap, false)) OVER (PARTITION BY query_id ORDER BY rank)",
     "fk_bridge": _HITS + """, col AS (SELECT node_id, db_id || '.' || table_name AS parent FROM n WHERE node_type = 'column'), h AS (SELECT * FROM hits SEMI JOIN col USING (node_id)), b AS (SELECT query_id, min(score) / 2 AS s FROM h GROUP BY 1),

@@ -164,9 +164,10 @@ def multi_query(spark, d):
 
 
 def value_scan(spark, d):
-    """Sample values of the catalog's nodes that dev questions name, fuzzily; node databases are the catalog's with a number."""
-    q = examples(spark, d, "db_id", "question", "split").where("split in ('dev', 'test')").select(F.col("example_id").alias("query_id"), "db_id", T.value_candidates(F.col("question")).alias("candidates"))
-    n = table(spark, d, "kg_nodes").where("node_type = 'column'").select(F.regexp_replace("db_id", r"_\d+$", "").alias("db_id"), F.concat_ws(".", "table_name", "column_name").alias("col"), F.explode("sample_values").alias("value"))
+    """Names of the catalog that held-out items mention, fuzzily."""
+    q = table(spark, d, "bench_items").select(F.col("item_id").alias("query_id"), F.lit("all").alias("db_id"), T.value_candidates(F.col("text")).alias("candidates"))
+    named = F.explode(F.array(F.struct(F.lit("table").alias("col"), F.col("table_name").alias("v")), F.struct(F.lit("column").alias("col"), F.col("column_name").alias("v"))))
+    n = table(spark, d, "cat_columns").select(named.alias("x")).select(F.lit("all").alias("db_id"), "x.col", F.lower(F.regexp_replace("x.v", "_", " ")).alias("value")).distinct()
     return value_matches(q, n)
 
 
