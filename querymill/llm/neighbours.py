@@ -186,17 +186,18 @@ def nearest_entries(entries: DataFrame, queries: DataFrame, *, k: int = 5, dim:
         empty = pa.table({"query": pa.array([], pa.string()), "entry": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
         if not q.num_rows or not e.num_rows:
             return empty
-        qx, ex = unit(_matrix(q.column("vec"), dim)), unit(_matrix(e.column("vec"), dim))
+        raw, ex = _matrix(q.column("vec"), dim), unit(_matrix(e.column("vec"), dim))
         qid, eid = np.array(q.column("entry").to_pylist(), object), np.array(e.column("entry").to_pylist(), object)
         e32, out = ex.astype(np.float32), []
-        for at in range(0, len(qx), 1_024):
-            s = qx[at : at + 1_024].astype(np.float32) @ e32.T
+        for at in range(0, len(raw), 1_024):
+            qx = unit(raw[at : at + 1_024])
+            s = qx.astype(np.float32) @ e32.T
             s[qid[at : at + 1_024, None] == eid[None, :]] = -2.0
             # single precision only shortlists: ties of the last place stay in
             low = np.full(len(s), -1.5, np.float32) if s.shape[1] <= k else np.partition(s, -k, axis=1)[:, -k] - np.float32(1e-5)
             i, j = np.nonzero(s >= np.maximum(low, np.float32(max(min_similarity, -1.2) - 1e-5))[:, None])
             if len(i):
-                exact = np.einsum("ij,ij->i", qx[at + i], ex[j])
+                exact = np.einsum("ij,ij->i", qx[i], ex[j])
                 good = exact >= min_similarity
                 out.append((qid[at + i[good]], eid[j[good]], exact[good]))
         if not out:
