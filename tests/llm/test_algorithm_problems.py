@@ -62,6 +62,22 @@ def test_copies_and_split_cells(spark):
     assert neighbours.nearest_nodes(df.limit(0), k=5).count() == 0 and neighbours.nearest_nodes(df.limit(1), k=5).count() == 0
 
 
+def test_neighbours_in_a_dense_group(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12_000, 64))
+    x[:4_000] = x[0] + 0.14 * rng.normal(size=(4_000, 64))  # pairwise cosine about 0.98
+    x = x.astype("f4")
+    df = spark.createDataFrame([(f"n{i:05d}", v.tolist()) for i, v in enumerate(x)], "node_id string, embedding array<float>")
+    s = neighbours.unit(x) @ neighbours.unit(x).T
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, 1, kind="stable")[:, :5]
+    name = lambda i: f"n{i:05d}"
+    got = neighbours.similar_pairs(neighbours.nearest_nodes(df, k=5, min_similarity=0.95), min_similarity=0.95).collect()
+    assert {(r["node_a"], r["node_b"]) for r in got} == {tuple(sorted((name(i), name(j)))) for i in range(len(x)) for j in top[i] if s[i, j] >= 0.95}
+    some = neighbours.nearest_nodes(df, k=5, query_share=20, block=700, **neighbours.HIGH_RECALL).collect()
+    assert len(some) > 2_000 and all(r["neighbour"] == name(top[int(r["node"][1:]), r["rank"] - 1]) for r in some)
+
+
 def test_heap_goes_in_order_of_distance():
     x = neighbours.unit(vectors(300, 2))
     index = neighbours.MultiIndex(x, 8)
