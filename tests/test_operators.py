@@ -125,6 +125,24 @@ def test_fuzzy_is_sequence_matching(spark):
     assert got[0] == 1.0 and got[1] == pytest.approx(0.8) and got[2] == pytest.approx(difflib.SequenceMatcher(None, *pairs[2]).ratio()) and got[3] is None and got[4] is None
 
 
+def test_value_matches_lose_no_pair(spark):
+    values = ["customer", "sealcode", "stations", "order date", "Été 2024", "id", "", "a b"]
+    asked = {1: ["csutomer", "elode", "my order date", None], 2: ["restorations", " ORDER DATE", "ordre dtae", "ete 2024"], 3: ["", "di", "aab", "zzz"], 4: None}
+    q = spark.createDataFrame([(k, "d", c) for k, c in asked.items()] + [(9, "e", ["customer"]), (8, None, ["customer"])], "query_id int, db_id string, candidates array<string>")
+    v = spark.createDataFrame([("d", "c", x) for x in [*values, values[0], None]], "db_id string, col string, value string")
+
+    def score(a, b):
+        a, b = a.strip(" ").lower(), b.strip(" ").lower()
+        if a == b:
+            return 1.0
+        return min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else difflib.SequenceMatcher(None, a, b).ratio()
+
+    for least in (0.75, 0.4):
+        best = {(k, x): max((score(c, x) for c in cs or [] if c is not None), default=0) for k, cs in asked.items() for x in values}
+        got = {(r["query_id"], r["value"]): r["score"] for r in fuzzy.value_matches(q, v, top=99, least=least).collect()}
+        assert got == {k: pytest.approx(s, abs=1e-6) for k, s in best.items() if s >= least}
+
+
 def test_retry_stops(spark):
     asked = []
     loop = X.Retry(spark, lambda p: asked.append(p) or "SELECT 1 AS a WHERE 1 = 0")
