@@ -69,6 +69,7 @@ SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM r WHERE k <
 ORACLE = {
     "p2_found": _P2 + "SELECT w AS word, t AS table_name FROM nwt JOIN nw USING (w) JOIN nt USING (t), total WHERE n_both * n >= 6 * n_left * n_right",
     "p2_word_tables": _P2 + "SELECT w AS word, t AS table_name, n_both, n_left, n_right, n, round(n_both * n / (n_left * n_right), 6) AS lift FROM nwt JOIN nw USING (w) JOIN nt USING (t), total",
+    "p2_all_pairs": _P2.replace(" HAVING count(*) >= 8", "") + "SELECT w AS word, t AS table_name, n_both, n_left, n_right, n, round(n_both * n / (n_left * n_right), 6) AS lift FROM nwt JOIN nw USING (w) JOIN nt USING (t), total",
     "p3_found": _P3,
     "p4_found": _P4,
     "p5_found": _WORD_PAIRS + "SELECT least(train_id, eval_id) AS id_a, greatest(train_id, eval_id) AS id_b FROM near",

@@ -34,6 +34,12 @@ def p2_word_tables(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("left_item").alias("word"), F.col("right_item").alias("table_name"), "n_both", "n_left", "n_right", "n", F.round("lift", 6).alias("lift"))
 
 
+def p2_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that occurs, the rare ones too, which p2_word_tables leaves out as its DuckDB statement does."""
+    out = cooccurrence.association(_baskets(spark, d), left="words", right="tables", min_count=1)
+    return out.select(F.col("left_item").alias("word"), F.col("right_item").alias("table_name"), "n_both", "n_left", "n_right", "n", F.round("lift", 6).alias("lift"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     out = cooccurrence.association(_baskets(spark, d), left="words", right="tables", min_count=8, min_lift=6)
     return out.select(F.col("left_item").alias("word"), F.col("right_item").alias("table_name"))
@@ -124,6 +130,6 @@ def p8_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_defect_counts, p2_found, p2_word_tables, p3_found, p3_neighbours, p4_found, p4_mix, p4_shares,
+    p1_found, p1_defect_counts, p2_found, p2_word_tables, p2_all_pairs, p3_found, p3_neighbours, p4_found, p4_mix, p4_shares,
     p5_found, p5_report, p5_coverage, p6_packing, p6_fill, p7_found, p7_leaks, p7_clean, p8_found, p8_repetition, p8_hosts,
 )}

@@ -26,6 +26,13 @@ def test_association_matches_brute_force_with_huge_baskets(spark):
     assert cooccurrence.association(df.limit(0), left="l", right="r").count() == 0
 
 
+def test_all_pairs_have_the_rare_ones(spark):
+    from querymill.llm.queries import QUERIES
+
+    all_, often = ({(r["word"], r["table_name"]): tuple(r)[2:] for r in QUERIES[q](spark, "/root/testdata/sf0.001").collect()} for q in ("p2_all_pairs", "p2_word_tables"))
+    assert min(x[0] for x in all_.values()) == 1 and {k: x for k, x in all_.items() if x[0] >= 8} == often
+
+
 def vectors(n, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, 64)).astype("f4")
