@@ -94,7 +94,8 @@ class Mix:
                 key = tuple(v if k == d else None for k, v in enumerate(c))
                 one[key] = one.get(key, 0.0) + want
             margins.append(one)
-        # the marginals come first and the cells last: a cell's own target has the last word
+        # the marginals come first and the cells last: a cell's own target has the last word, so the result is min(target / size, cap)
+        # and no other cell goes beyond its share to make up for a short one
         self.weight = rake(self.sizes, [*margins, cell_margin], {c: float(k) for c, k in self.caps.items()})
 
     def _cells(self) -> DataFrame:
@@ -117,12 +118,16 @@ class Mix:
     def report(self) -> DataFrame:
         """Each target cell with its share wanted and reached, the size reached, and whether it must miss its share.
 
+        ``reached_share`` is of the wanted size of the mix, ``share_of_reached`` of the size that all cells reach together.
         ``short`` holds where all rows at their cap stay below the target: size * max_repeats < target_share * mix size.
         """
         used = self.sample().groupBy(*self.dims).agg(F.sum(F.col("size") * F.col("uses")).alias("reached_size"), F.sum("uses").alias("rows_used"))
-        out = self._cells().join(used, self.dims, "left").select(
+        # one row by construction
+        in_all = used.agg(F.sum("reached_size").alias("reached_in_all"))
+        out = self._cells().join(used, self.dims, "left").join(F.broadcast(in_all)).select(
             *self.dims, "target_share", "max_repeats", "n_rows", "size", "uses", F.coalesce("reached_size", F.lit(0)).alias("reached_size"),
             F.coalesce("rows_used", F.lit(0)).alias("rows_used"), F.round(F.coalesce("reached_size", F.lit(0)) / F.nullif("mix_size", F.lit(0.0)), 6).alias("reached_share"),
+            F.round(F.coalesce("reached_size", F.lit(0)) / F.nullif("reached_in_all", F.lit(0)), 6).alias("share_of_reached"),
             (F.col("size") * F.col("max_repeats") < F.col("target_share") * F.col("mix_size")).alias("short"),
         )
         return out

@@ -71,7 +71,7 @@ def p4_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).report().select("source", "thinking_mode", "target_share", "max_repeats", "n_rows", "size", F.round("uses", 6).alias("uses"), "rows_used", "reached_size", "reached_share", "short")
+    return _mix(spark, d).report().select("source", "thinking_mode", "target_share", "max_repeats", "n_rows", "size", F.round("uses", 6).alias("uses"), "rows_used", "reached_size", "reached_share", "share_of_reached", "short")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -115,6 +115,16 @@ def test_mix_reaches_targets_under_caps(spark):
     assert none.sample().count() == 0 and none.report().count() == 4
 
 
+def test_mix_reports_shares_of_what_it_reaches(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", 10) for i in range(1_000)], "example_id long, src string, size int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1)], "src string, target_share double, max_repeats int")
+    report = {r["src"]: r for r in mixing.Mix(df, targets, dims=["src"]).report().collect()}
+    in_all = sum(r["reached_size"] for r in report.values())
+    assert report["c"]["share_of_reached"] == 0 and 0.7 < sum(r["reached_share"] for r in report.values()) < 0.9
+    assert abs(sum(r["share_of_reached"] for r in report.values()) - 1) < 1e-5
+    assert all(abs(r["share_of_reached"] - r["reached_size"] / in_all) < 1e-6 for r in report.values())
+
+
 def test_rake_meets_marginals():
     sizes = {("a", "x"): 40.0, ("a", "y"): 60.0, ("b", "x"): 80.0, ("b", "y"): 20.0}
     w = mixing.rake(sizes, [{("a", None): 50.0, ("b", None): 50.0}, {(None, "x"): 30.0, (None, "y"): 70.0}], dict.fromkeys(sizes, 9.0))
