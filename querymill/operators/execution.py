@@ -1,12 +1,14 @@
 """Running SQL text: errors as classes, results compared as sets, votes among candidates, retries.
 
-These are the only operators that loop on the driver: each statement is a query of its own. Rows stay in Spark;
+These are the only operators that loop on the driver: each statement is a query of its own, and many are run at once. Rows stay in Spark;
 what comes to the driver is a count, a hash or an error class.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -15,14 +17,14 @@ from pyspark.sql import functions as F
 
 SUCCESS, SYNTAX, NO_TABLE, NO_COLUMN, WRONG, EMPTY, FAILED = "success", "syntax_error", "no_such_table", "no_such_column", "wrong_result", "empty_result", "execution_error"
 
-# What to look at after each class of error.
+#: What a corrector is told to look at after each class of error.
 HINTS = {
-    SYNTAX: "The SQL has a syntax error. Check parentheses, keywords, quotes, and clause ordering.",
-    NO_TABLE: "A table referenced in the SQL does not exist. Use only tables listed in the schema above.",
-    NO_COLUMN: "A column referenced in the SQL does not exist. Check the column names carefully against the schema above.",
-    WRONG: "The SQL executes but returns incorrect results. Re-examine the JOIN conditions, WHERE filters, and aggregation logic.",
-    EMPTY: "The SQL returns no rows. Check whether your WHERE conditions are too restrictive or whether JOINs are eliminating rows unexpectedly.",
-    FAILED: "The SQL caused a runtime error. Check for type mismatches, division by zero, or unsupported operations.",
+    SYNTAX: "It can't be parsed: look at brackets, quotes, and the order of the clauses.",
+    NO_TABLE: "It reads a table that isn't in the schema above.",
+    NO_COLUMN: "It names a column that isn't in the schema above.",
+    WRONG: "It runs, but other rows were expected: look at joins, filters and groups.",
+    EMPTY: "It finds no rows: a filter may be too strict, or a join may lose all rows.",
+    FAILED: "It stops while running: look at types, casts and divisions.",
 }
 
 
@@ -33,6 +35,8 @@ class Outcome:
     message: str = ""
     rows: DataFrame | None = None
     n_rows: int = 0
+    #: hash of the result as a set of rows
+    digest: str = ""
 
 
 def message_class(message: Column) -> Column:
@@ -50,38 +54,65 @@ def _class(e: Exception) -> str:
     return NO_COLUMN if condition.startswith("UNRESOLVED_COLUMN") else FAILED
 
 
-def is_query(sql: str) -> bool:
-    """Only queries run: no commands, no writes."""
-    words = sql.strip().lstrip("(").split(None, 1)
-    return bool(words) and words[0].lower() in ("select", "with", "values", "from", "table")
+#: Functions that call into the JVM by name (fixed values); a query with one of them isn't run.
+CALLS = re.compile(r"\b(?:reflect|try_reflect|java_method)\s*\(", re.I)
+STARTS = re.compile(r"(?:\s|\(|--[^\n]*\n|/\*.*?\*/)*(?:select|with|values|from|table)\b", re.I | re.S)
+LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+
+
+def is_query(spark: SparkSession, sql: str) -> bool:
+    """Whether a statement only reads: it starts like a query, its plan holds no command and no insert, wherever it stands, and it calls no JVM method by name.
+
+    Text that can't be parsed raises ParseException.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)  # parses only
+    kinds = [spark._jvm.java.lang.Class.forName(LOGICAL + n) for n in ("Command", "ParsedStatement")]
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds) or node.nodeName().startswith("ExecuteImmediate"):
+            return False
+        for below in (node.children(), node.innerChildren()):
+            todo += [x for x in (below.apply(i) for i in range(below.size())) if hasattr(x, "innerChildren")]
+    return bool(STARTS.match(sql)) and not CALLS.search(sql)
 
 
 def run(spark: SparkSession, sql: str | None, gold: str | None = None) -> Outcome:
-    """Runs one query and never raises. With ``gold``, its result decides between success and wrong result; a gold statement that fails itself counts as met."""
+    """Runs one query and never raises. With ``gold``, its result decides between success and wrong result; a gold statement that fails itself counts as met.
+
+    Commands and inserts are refused before anything runs. A result is evaluated once; its number of rows and its hash come of the same pass.
+    """
     if not sql or not sql.strip():
         return Outcome(sql or "", SYNTAX, "blank statement")
     try:
-        spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)  # parses only
-        if not is_query(sql):
+        if not is_query(spark, sql):
             return Outcome(sql, FAILED, "not a query")
-        rows = spark.sql(sql)
-        n = _evaluated(rows)
+        out = _evaluated(sql, spark.sql(sql))
     except PySparkException as e:
         return Outcome(sql, _class(e), str(e).split("\n", 1)[0])
     expected = None
     if gold is not None:
         try:
-            expected = spark.sql(gold)
-            n_gold = _evaluated(expected)
+            if not is_query(spark, gold):
+                return out
+            expected = _evaluated(gold, spark.sql(gold))
         except PySparkException:
-            return Outcome(sql, SUCCESS, "", rows, n)
-        if n == 0 and n_gold == 0:
-            return Outcome(sql, SUCCESS, "", rows, 0)
-    if n == 0:
-        return Outcome(sql, EMPTY, "no rows", rows, 0)
-    if expected is not None and not same_rows(rows, expected):
-        return Outcome(sql, WRONG, "rows differ", rows, n)
-    return Outcome(sql, SUCCESS, "", rows, n)
+            return out
+        if out.n_rows == 0 and expected.n_rows == 0:
+            return out
+    if out.n_rows == 0:
+        out.kind, out.message = EMPTY, "no rows"
+    elif expected is not None and expected.digest != out.digest:
+        out.kind, out.message = WRONG, "rows differ"
+    return out
+
+
+def run_many(spark: SparkSession, statements: list[tuple[str, str | None]], *, at_once: int = 8) -> list[Outcome]:
+    """The outcomes of (statement, gold) pairs, several being run at once; equal pairs are run once."""
+    different = list(dict.fromkeys(statements))
+    with ThreadPoolExecutor(at_once) as pool:
+        done = dict(zip(different, pool.map(lambda s: run(spark, *s), different)))
+    return [done[s] for s in statements]
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -95,9 +126,24 @@ def _cells(df: DataFrame) -> DataFrame:
     return _texts(df).distinct()
 
 
-def _evaluated(df: DataFrame) -> int:
-    """The number of rows, every cell of them evaluated (a plain count would leave out what it doesn't need, errors included)."""
-    return _texts(df).agg(F.sum(F.length("row")).alias("chars"), F.count("*").alias("n")).select("chars", "n").collect()[0]["n"]
+def result_hash(df: DataFrame) -> DataFrame:
+    """``hash, n_rows`` of a result as a set: equal sets have equal hashes, in any order and with any repeats.
+
+    Row hashes are added up, so nothing is sorted or collected.
+    """
+    return _digest(df).select("hash", F.col("n_different").alias("n_rows"))
+
+
+def _digest(df: DataFrame) -> DataFrame:
+    """``hash, n_different, n_rows`` in one pass; every cell is evaluated, so that an error in any of them shows."""
+    r = _texts(df).groupBy("row").agg(F.count("*").alias("k")).select("k", *[F.conv(F.substring(F.md5("row"), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"h{i}") for i in range(2)])
+    sums = [F.coalesce(F.sum(f"h{i}"), F.lit(0)).cast("string") for i in range(2)]
+    return r.agg(F.md5(F.concat_ws("|", F.lit(len(df.columns)), *sums, F.count("*").cast("string"))).alias("hash"), F.count("*").alias("n_different"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_rows"))
+
+
+def _evaluated(sql: str, df: DataFrame) -> Outcome:
+    r = _digest(df).first()
+    return Outcome(sql, SUCCESS, "", df, r["n_rows"], r["hash"])
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
@@ -118,25 +164,15 @@ def overlap(got: DataFrame, gold: DataFrame) -> float:
     return 0.5 * _cells(got).intersect(g).count() / max(g.count(), 1)
 
 
-def result_hash(df: DataFrame) -> DataFrame:
-    """``hash, n_rows`` of a result as a set: equal sets have equal hashes, in any order and with any repeats.
-
-    Row hashes are added up, so nothing is sorted or collected.
-    """
-    r = _cells(df).select(*[F.conv(F.substring(F.md5("row"), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)").alias(f"h{i}") for i in range(2)])
-    return r.agg(F.md5(F.concat_ws("|", F.coalesce(F.sum("h0"), F.lit(0)).cast("string"), F.coalesce(F.sum("h1"), F.lit(0)).cast("string"), F.count("*").cast("string"))).alias("hash"), F.count("*").alias("n_rows"))
-
-
 def vote(spark: SparkSession, candidates: list[str]) -> tuple[int, int]:
     """(chosen place, size of its cluster): the largest cluster of equal results, its shortest statement; failures and empty results don't vote.
 
     Without a vote the first candidate is chosen with size 0.
     """
     clusters: dict[str, list[int]] = {}
-    for i, sql in enumerate(candidates):
-        out = run(spark, sql)
+    for i, out in enumerate(run_many(spark, [(c, None) for c in candidates])):
         if out.kind == SUCCESS:
-            clusters.setdefault(result_hash(out.rows).first()["hash"], []).append(i)
+            clusters.setdefault(out.digest, []).append(i)
     if not clusters:
         return 0, 0
     best = max(clusters.values(), key=lambda c: (len(c), -c[0]))

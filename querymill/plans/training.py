@@ -114,19 +114,23 @@ STATEMENTS = [
     ("both empty", "SELECT 1 FROM nation WHERE n_regionkey = 77", "SELECT 2 FROM nation WHERE n_regionkey = 78"),
     ("syntax", "SELEC n_name FROM nation", "SELECT 1"), ("broken", "SELECT n_name FROM nation WHERE (", "SELECT 1"), ("no table", "SELECT a FROM riders", "SELECT 1"), ("no column", "SELECT n_nam FROM nation", "SELECT 1"),
     ("division", "SELECT 1 / (n_regionkey - n_regionkey) FROM nation", "SELECT 1"), ("command", "DROP TABLE nation", "SELECT 1"), ("blank", "  ", "SELECT 1"),
+    ("hidden write", "WITH q AS (SELECT 1 AS a) INSERT INTO nation SELECT a FROM q", "SELECT 1"), ("write behind from", "/* SELECT */ FROM nation INSERT INTO nation SELECT *", "SELECT 1"),
 ]
 
 
 def executed(spark, d):
     register_views(spark, d, ["nation"])
-    return spark.createDataFrame([(n, X.run(spark, s, g).kind) for n, s, g in STATEMENTS], "name string, kind string")
+    return spark.createDataFrame([(n, o.kind) for (n, _, _), o in zip(STATEMENTS, X.run_many(spark, [(s, g) for _, s, g in STATEMENTS]))], "name string, kind string")
+
+
+#: Candidates of a vote; the last can't be parsed.
+CANDIDATES = ["SELECT count(*) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", "SELECT count(*) FROM nation", "SELECT count(*) + 1 FROM nation", "SELECT count(* FROM nation"]
 
 
 def voted(spark, d):
     """Majority among candidate statements: (chosen, votes)."""
     register_views(spark, d, ["nation", "region"])
-    c = ["SELECT count(*) FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey", "SELECT count(*) FROM nation", "SELECT count(*) + 1 FROM nation", "SELECT count(* FROM nation"]
-    return spark.createDataFrame([X.vote(spark, c)], "chosen int, votes int")
+    return spark.createDataFrame([X.vote(spark, CANDIDATES)], "chosen int, votes int")
 
 
 def retried(spark, d):
@@ -149,6 +153,19 @@ QUERIES = {f"train_{f.__name__}": f for f in (
     valid_thinking, formatted, shuffled, noise_tables, multitask, context_fallback, open_examples, distributions, rewards, composite_reward,
 )} | {f"exec_{f.__name__}": f for f in (error_classes, executed, voted, retried, hashed_results)}
 
+#: Statements that fail fail in any engine; the error's class is the truth of those.
+FAILING = {"syntax": X.SYNTAX, "broken": X.SYNTAX, "no table": X.NO_TABLE, "no column": X.NO_COLUMN, "division": X.FAILED, "command": X.FAILED, "blank": X.SYNTAX, "hidden write": X.FAILED, "write behind from": X.FAILED}
+
+
+def _class_sql(name: str, sql: str, gold: str) -> str:
+    """The class of a pair of statements, from their rows."""
+    if name in FAILING:
+        return f"SELECT '{name}' AS name, '{FAILING[name]}' AS kind"
+    n, g = f"(SELECT count(*) FROM ({sql}))", f"(SELECT count(*) FROM ({gold}))"
+    differ = f"(SELECT count(*) FROM (({sql} EXCEPT {gold.split(' ORDER')[0]}) UNION ALL ({gold.split(' ORDER')[0]} EXCEPT {sql})))"
+    return f"SELECT '{name}' AS name, CASE WHEN {n} = 0 AND {g} = 0 THEN '{X.SUCCESS}' WHEN {n} = 0 THEN '{X.EMPTY}' WHEN {differ} > 0 THEN '{X.WRONG}' ELSE '{X.SUCCESS}' END AS kind"
+
+
 _BLOCK = "trim(regexp_extract(coalesce({}, ''), '(?is)```sql\\s*(.+?)\\s*```', 1))"
 _P = _BLOCK.format("raw_output")
 _WORDS = "list_distinct([x FOR x IN regexp_split_to_array(lower({}), '\\s+') IF x <> ''])"
@@ -180,8 +197,8 @@ ORACLE = {
             CASE WHEN p = '' THEN 0 WHEN regexp_matches(upper(p), '^(SELECT|WITH)\\b') THEN 1 ELSE 0.5 END AS f FROM e)
         SELECT run_id, example_id, round(su, 6) AS schema_use, round(ru, 6) AS reasoning_use, round(greatest(0, least(1, 0.5 * x + 0.2 * f + 0.15 * su + 0.15 * ru)), 6) AS reward FROM s""",
     "exec_error_classes": "SELECT * FROM (VALUES (0, 'no_such_table'), (1, 'no_such_column'), (2, 'syntax_error'), (3, 'syntax_error'), (4, 'syntax_error'), (5, 'execution_error'), (6, NULL)) v(id, kind)",
-    "exec_executed": "SELECT * FROM (VALUES ('same set', 'success'), ('other rows', 'wrong_result'), ('no rows', 'empty_result'), ('both empty', 'success'), ('syntax', 'syntax_error'), ('broken', 'syntax_error'), ('no table', 'no_such_table'), ('no column', 'no_such_column'), ('division', 'execution_error'), ('command', 'execution_error'), ('blank', 'syntax_error')) v(name, kind)",
-    "exec_voted": "SELECT 1 AS chosen, 2 AS votes",
-    "exec_retried": "SELECT * FROM (VALUES (0, 'syntax_error', 0), (1, 'no_such_column', 0), (2, 'success', 25)) v(attempt, kind, n_rows)",
+    "exec_executed": " UNION ALL ".join(_class_sql(n, s, g) for n, s, g in STATEMENTS),
+    "exec_voted": f"WITH r AS ({' UNION ALL '.join(f'SELECT {i} AS i, ({c})::VARCHAR AS v, {len(c)} AS n' for i, c in enumerate(CANDIDATES[:-1]))}), k AS (SELECT v, count(*) AS votes, min(i) AS i FROM r GROUP BY v ORDER BY votes DESC, i LIMIT 1) SELECT r.i AS chosen, votes::INT AS votes FROM r JOIN k USING (v) ORDER BY n, r.i LIMIT 1",
+    "exec_retried": "SELECT * FROM (VALUES (0, 'syntax_error', 0), (1, 'no_such_column', 0)) v(attempt, kind, n_rows) UNION ALL SELECT 2, 'success', count(*) FROM nation",
     "exec_hashed_results": "SELECT count(*) AS n_rows, true AS same, false AS other FROM nation",
 }

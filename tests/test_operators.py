@@ -150,6 +150,17 @@ def test_retry_stops(spark):
     assert "Hint:" in asked[0]
     assert X.Retry(spark, lambda p: 1 / 0).run("q", "s", "").kind == X.SYNTAX
     assert X.run(spark, "SELECT 1").kind == X.SUCCESS and X.run(spark, None).kind == X.SYNTAX
+    spark.range(2).createOrReplaceTempView("two")
+    spark.sql("CREATE TABLE written (a BIGINT) USING parquet")
+    try:
+        for q in ("WITH q AS (SELECT 1 AS a) INSERT INTO written SELECT a FROM q", "FROM two INSERT INTO written SELECT id", "/* SELECT 1 */ INSERT INTO written VALUES (1)", "-- SELECT\nINSERT INTO written VALUES (1)", "FROM two INSERT INTO written SELECT 1 INSERT INTO written SELECT 2",
+                  "EXECUTE IMMEDIATE 'INSERT INTO written VALUES (1)'", "BEGIN INSERT INTO written VALUES (1); END", "INSERT OVERWRITE written SELECT 1", "SELECT reflect('java.util.UUID', 'randomUUID')"):
+            assert X.run(spark, q).kind == X.FAILED and spark.table("written").count() == 0, q
+    finally:
+        spark.sql("DROP TABLE written")
+    for q in ("(SELECT id FROM two)", "FROM two SELECT id", "/* a */ -- b\n WITH x AS (SELECT id FROM two) SELECT * FROM x", "TABLE two"):
+        assert X.run(spark, q).n_rows == 2, q
+    assert [o.kind for o in X.run_many(spark, [("SELECT 1", "SELECT 1"), ("SELECT 1", "SELECT 2"), ("SELEC", None), ("SELECT 1", "SELECT 1")])] == [X.SUCCESS, X.WRONG, X.SYNTAX, X.SUCCESS]
     assert X.overlap(spark.sql("SELECT 1 AS a"), spark.sql("SELECT explode(array(1, 2)) AS b")) == 0.25
     assert X.result_hash(spark.sql("SELECT CAST(NULL AS STRING) AS a")).first()["hash"] != X.result_hash(spark.sql("SELECT 'None' AS a")).first()["hash"]
 
