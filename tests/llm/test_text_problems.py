@@ -135,12 +135,47 @@ def test_token_counts():
     assert count(None) == 0 and count("bad \ud800 half") > 0
 
 
-@pytest.mark.parametrize("sql, bad", [
-    ("SELECT a FROM t", False), ("SELECT a FROM t WHERE", True), ("SELECT a FROM t WHERE b =", True), ("SELECT a FROM t WHERE b = 'x", True), ("SELECT a FROM (SELECT b FROM t", True),
-    ("SELECT a FROM t WHERE b IN (1, 2);", False), ("SELECT a FROM t ORDER BY", True), ("SELECT 'it''s' FROM t", False), ("SELECT a FROM t WHERE b > 1 AND c", True), ("", True),
-])
-def test_unfinished(sql, bad):
-    assert pair_defects.unfinished(sql) is bad
+def planted_judge(end_likelihood=None):
+    """A judge of 300 sound pairs over one schema, and one of them with its end model replaced."""
+    rng = random.Random(4)
+    ask = "Given the schema, write a query that answers the question.\nCREATE TABLE student (name TEXT, age INTEGER, course_id INTEGER);\nCREATE TABLE course (id INTEGER, title TEXT);\nQuestion: What are the names of the students?"
+    why = "the query reads the table and keeps only the rows that the question asks for because the other rows do not matter here"
+    forms = ["SELECT name FROM student", "SELECT name, age FROM student WHERE age > {}", "SELECT s.name, c.title FROM student AS s JOIN course AS c ON s.course_id = c.id", "SELECT COUNT(*) FROM student WHERE name = 'x{}'", "SELECT title FROM course WHERE id IN (SELECT course_id FROM student WHERE age < {}) ORDER BY title LIMIT {}"]
+    pairs = [(ask, f"<think>{why}</think>\n```sql\n{rng.choice(forms).format(rng.randrange(99), rng.randrange(1, 9))}{rng.choice(['', ';'])}\n```", why) for _ in range(300)]
+    j = pair_defects.Judge([(why + " " + why, "en")] * 20 + [("die Abfrage liest die Tabelle und behält nur die Zeilen nach denen die Frage fragt weil die anderen Zeilen hier nicht wichtig sind", "de")] * 20, pairs)
+    j.add_bare(["Sorry, I cannot write this query.", "I am not able to help with that request.", "Leider kann ich das nicht."])
+    if end_likelihood is not None:
+        j.end_likelihood = lambda *a, **k: (end_likelihood, 0.0)
+    return lambda r, reasoning=None: j.judge([ask], [r], ["What are the names?"], [reasoning])["defect"][0]
+
+
+@pytest.mark.filterwarnings("ignore:no labelled prose")
+def test_end_model_decides_on_truncation():
+    judge, blind = planted_judge(), planted_judge(0.0)
+    cut_ = ["SELECT s.name FROM student s JOIN course", "SELECT name, age", "SELECT name FROM stud", "SELECT name FROM student WHERE", "SELECT name FROM student WHERE age >", "SELECT COUNT(*) FROM student WHERE name = 'x", "SELECT title FROM course WHERE id IN (SELECT course_id", "SELECT title FROM course ORDER BY"]
+    for sql in cut_:
+        assert judge(f"```sql\n{sql}\n```") == "truncated" and judge(f"```sql\n{sql}") == "truncated" and blind(f"```sql\n{sql}\n```") is None, sql
+    for sql in ("SELECT name FROM student", "SELECT name FROM student WHERE age > 7;", "SELECT title FROM course WHERE id IN (SELECT course_id FROM student WHERE age < 9) ORDER BY title LIMIT 5"):
+        assert judge(f"```sql\n{sql}\n```") is None, sql
+    whole = "first the rows of the student table are read and then those of the course table are joined"
+    assert judge(f"<think>{whole[:60]}", whole) == "truncated"
+    assert judge("I am afraid I cannot help with that.") == "refusal"
+
+
+def test_refusals_are_told_by_a_model():
+    bare = ["sorry, i cannot write this query.", "i am not able to help with that request.", "i won't be producing sql for this database.", "leider kann ich diese abfrage nicht schreiben.", "désolé, je ne peux pas écrire cette requête.", "no puedo escribir esta consulta."] * 5
+    other = ["the capital of the region is read from the table", "which city in france has the most stations", "paris is the value of the column city", "the name of the station is joined to its city and the rest is left out", "wie viele städte hat die tabelle", "quelle est la ville"] * 5
+    m = pair_defects.Refusals(bare, other).margins(["the capital of france is paris.", "i cannot help with this query.", "das kann ich leider nicht schreiben."])
+    assert m[0] < 0 < min(m[1], m[2])
+    assert pair_defects.Refusals([], other).margins(["no"]).tolist() == [0.0]
+
+
+def test_unlabelled_languages_are_not_judged():
+    with pytest.warns(UserWarning, match="no labelled prose"):
+        j = pair_defects.Judge([], [("write a query about the rides in this table and say what you did for it", "```sql\nSELECT 1 FROM t\n```", None)] * 5)
+    j.add_bare([])
+    out = j.judge(["write a query about the rides in this table and say what you did for it"] * 2, ["der Satz hier ist nicht in der Sprache der Frage und lang genug dafür\n```sql\nSELECT 1 FROM t\n```", None], [None] * 2, [None] * 2)
+    assert out["defect"].tolist() == [None, "empty"]
 
 
 def test_answer_parts():
@@ -163,7 +198,7 @@ def test_defects_of_planted_pairs(spark):
         7: ("I cannot help with this request.", "refusal"), 8: ("HOW MANY RIDES ARE THERE IN THE TABLE", "copied_question"), 9: ("<think>\n\n</think>\n" + sql, None), 10: (f"<think>{english}", "truncated"),
     }
     rows = [(k, r, ask, "How many rides are there in the table?", 1) for k, (r, _) in cases.items()] + [(2, None, ask, None, 1), (11, "```sql\nSELECT 1 FROM t\n```", None, None, 1), (None, "x", ask, "q", 1), (12, "bad", ask, "q", 1), (12, sql, ask, "q", 2)]
-    e = spark.createDataFrame(rows, "example_id long, response string, instruction string, question string, ingested_at long").selectExpr("*", "1 AS defect", "2 AS at")
+    e = spark.createDataFrame(rows, "example_id long, response string, instruction string, question string, ingested_at long").selectExpr("*", "1 AS defect", "2 AS at", "CAST(NULL AS STRING) AS reasoning")
     got = {r["example_id"]: r["defect"] for r in pair_defects.flag_defects(e, d).collect()}
     assert got == {k: v for k, (_, v) in cases.items() if v}
     assert pair_defects.flag_defects(e.limit(0), d).count() == 0
