@@ -32,13 +32,18 @@ pairs AS (SELECT t.example_id AS train_id, e.example_id AS eval_id, e.split, e.s
 near AS (SELECT * FROM pairs WHERE s * 10 >= 6 * (b - s))
 """.format(latest=_LATEST)
 
-_P4 = f"""WITH {_LATEST},
-train AS (SELECT lower(trim(coalesce(source, ''))) AS s, lower(trim(coalesce(thinking_mode, ''))) AS m, coalesce(length(instruction), 0) + coalesce(length(response), 0) AS size FROM one WHERE split = 'train'),
-cells AS (SELECT t.source, t.thinking_mode, t.target_share, t.max_repeats, coalesce(sum(r.size), 0) AS size FROM mix_targets t
+_P4 = f"""WITH RECURSIVE {_LATEST},
+train AS (SELECT example_id, lower(trim(coalesce(source, ''))) AS s, lower(trim(coalesce(thinking_mode, ''))) AS m, coalesce(length(instruction), 0) + coalesce(length(response), 0) AS size FROM one WHERE split = 'train'),
+cells AS (SELECT t.source, t.thinking_mode, lower(trim(t.source)) AS s, lower(trim(t.thinking_mode)) AS m, t.target_share, t.max_repeats, count(r.s) AS n_rows, coalesce(sum(r.size), 0)::BIGINT AS size FROM mix_targets t
     LEFT JOIN train r ON r.s = lower(trim(t.source)) AND r.m = lower(trim(t.thinking_mode)) GROUP BY ALL),
-mix AS (SELECT sum(size) * 0.5 AS total FROM cells)
-SELECT source, thinking_mode FROM cells, mix WHERE size * max_repeats < target_share * total"""
-
+base AS (SELECT *, (SELECT sum(size) * 0.5::DOUBLE FROM cells) AS total, target_share * (SELECT sum(size) * 0.5::DOUBLE FROM cells) AS want, max_repeats::DOUBLE AS cap FROM cells),
+steps AS (SELECT 0 AS i, s, m, size, want, cap, CASE WHEN size > 0 THEN least(cap, want / size) ELSE cap END AS u FROM base
+    UNION ALL SELECT i + 1, s, m, size, want, cap, CASE WHEN h > w THEN u * w / h WHEN f > 0 AND u < cap THEN least(cap, u * (w - h + f) / f) ELSE u END
+    FROM (SELECT *, sum(want) OVER g AS w, sum(u * size) OVER g AS h, sum(CASE WHEN u < cap THEN u * size ELSE 0 END) OVER g AS f FROM steps WHERE i < 100 WINDOW g AS (PARTITION BY CASE WHEN i % 2 = 0 THEN s ELSE m END))),
+uses AS (SELECT s, m, u FROM steps WHERE i = 100),
+used AS (SELECT example_id, b.source, b.thinking_mode, b.s, b.m, r.size, (floor(u) + CASE WHEN ('0x' || md5('mix|' || example_id)[1:13])::BIGINT / 4503599627370496.0::DOUBLE < u - floor(u) THEN 1 ELSE 0 END)::INT AS uses
+    FROM train r JOIN base b ON r.s = b.s AND r.m = b.m JOIN uses x ON r.s = x.s AND r.m = x.m)
+"""
 
 
 def _grams(table: str, key: str, n: int) -> str:
@@ -61,6 +66,13 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n_repeated FROM (SELECT doc_id, unnest
 m AS (SELECT doc_id, host, len(w) AS n_words, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_repeated, 0) / greatest(len(w), 1) AS share FROM d LEFT JOIN c USING (doc_id))
 """
 
+_HOSTS = """, h AS (SELECT host, count(*) AS n_docs, count(*) FILTER (share >= 0.3) AS n_fail FROM m GROUP BY host),
+t AS (SELECT sum(n_docs)::DOUBLE AS n, sum(n_fail)::DOUBLE AS f, count(*)::DOUBLE AS h, sum(n_docs * (n_fail / n_docs) * (n_fail / n_docs)) AS s2 FROM h),
+u AS (SELECT n, f / n AS m, s2 / n - (f / n) * (f / n) - (f / n) * (1 - f / n) * h / n AS b FROM t),
+p AS (SELECT m, CASE WHEN b > 0 THEN greatest(m * (1 - m) / b - 1, 1.0) ELSE n END AS k FROM u),
+hosts AS (SELECT host, n_docs, n_fail, round(n_fail / n_docs, 6) AS raw_rate, round((n_fail + m * k) / (n_docs + k), 6) AS shrunk_rate, (n_fail + m * k) / (n_docs + k) >= 0.2 AS host_fails FROM h, p)
+"""
+
 _P3 = """WITH v AS (SELECT node_id, any_value(embedding)::DOUBLE[] AS e FROM kg_nodes WHERE len(embedding) = 64 AND list_sum([abs(x) FOR x IN embedding]) > 0 GROUP BY node_id),
 s AS (SELECT a.node_id AS a, b.node_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.node_id <> b.node_id),
 r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
@@ -71,17 +83,18 @@ ORACLE = {
     "p2_word_tables": _P2 + "SELECT w AS word, t AS table_name, n_both, n_left, n_right, n, round(n_both * n / (n_left * n_right), 6) AS lift FROM nwt JOIN nw USING (w) JOIN nt USING (t), total",
     "p2_all_pairs": _P2.replace(" HAVING count(*) >= 8", "") + "SELECT w AS word, t AS table_name, n_both, n_left, n_right, n, round(n_both * n / (n_left * n_right), 6) AS lift FROM nwt JOIN nw USING (w) JOIN nt USING (t), total",
     "p3_found": _P3,
-    "p4_found": _P4,
+    "p4_found": _P4 + "SELECT source, thinking_mode FROM base WHERE size * max_repeats < target_share * total",
+    "p4_mix": _P4 + "SELECT example_id, source, thinking_mode, size, uses FROM used WHERE uses > 0",
+    "p4_shares": _P4
+    + """, k AS (SELECT s, m, sum(size * uses)::BIGINT AS reached_size, sum(uses)::BIGINT AS rows_used FROM used GROUP BY ALL)
+SELECT source, thinking_mode, target_share, max_repeats, n_rows, size, round(u, 6) AS uses, coalesce(rows_used, 0) AS rows_used, coalesce(reached_size, 0) AS reached_size, round(coalesce(reached_size, 0) / (SELECT sum(reached_size) FROM k), 6) AS reached_share,
+    size * max_repeats < target_share * total AS short FROM base LEFT JOIN k USING (s, m) JOIN uses USING (s, m)""",
     "p5_found": _WORD_PAIRS + "SELECT least(train_id, eval_id) AS id_a, greatest(train_id, eval_id) AS id_b FROM near",
     "p5_report": _WORD_PAIRS + "SELECT split, lower(trim(coalesce(eval_source, ''))) AS source, count(*) AS n_pairs, count(DISTINCT eval_id) AS n_eval_rows FROM near GROUP BY ALL",
     "p7_found": _P7,
     "p7_clean": f"WITH hit AS ({_P7}) SELECT doc_type, count(*) AS n_docs FROM documents d ANTI JOIN hit ON d.doc_id = hit.doc_id GROUP BY doc_type",
     "p8_found": _P8 + "SELECT doc_id FROM m WHERE share >= 0.3",
+    "p8_verdicts": _P8 + _HOSTS + "SELECT doc_id, CASE WHEN share >= 0.3 THEN 'document' WHEN host_fails THEN 'host' ELSE 'clean' END AS verdict FROM m JOIN hosts USING (host)",
     "p8_repetition": _P8 + "SELECT doc_id, n_words, n_repeated, round(share, 6) AS repeated_share FROM m",
-    "p8_hosts": _P8
-    + """, h AS (SELECT host, count(*) AS n_docs, count(*) FILTER (share >= 0.3) AS n_fail FROM m GROUP BY host),
-t AS (SELECT sum(n_docs)::DOUBLE AS n, sum(n_fail)::DOUBLE AS f, count(*)::DOUBLE AS h, sum(n_docs * (n_fail / n_docs) * (n_fail / n_docs)) AS s2 FROM h),
-u AS (SELECT n, f / n AS m, s2 / n - (f / n) * (f / n) - (f / n) * (1 - f / n) * h / n AS b FROM t),
-p AS (SELECT m, CASE WHEN b > 0 THEN greatest(m * (1 - m) / b - 1, 1.0) ELSE n END AS k FROM u)
-SELECT host, n_docs, n_fail, round(n_fail / n_docs, 6) AS raw_rate, round((n_fail + m * k) / (n_docs + k), 6) AS shrunk_rate, (n_fail + m * k) / (n_docs + k) >= 0.2 AS host_fails FROM h, p""",
+    "p8_hosts": _P8 + _HOSTS + "SELECT * FROM hosts",
 }

@@ -71,7 +71,7 @@ def p4_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).report().select("source", "thinking_mode", "target_share", "max_repeats", "n_rows", "size", F.round("uses", 6).alias("uses"), "rows_used", "reached_size", "reached_share", "share_of_reached", "short")
+    return _mix(spark, d).report().select("source", "thinking_mode", "target_share", "max_repeats", "n_rows", "size", F.round("uses", 6).alias("uses"), "rows_used", "reached_size", F.round("reached_share", 6).alias("reached_share"), "short")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,12 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.flag_repetition(table(spark, d, "documents")).where("fails").select("doc_id")
+    """The documents that their own or their host's verdict takes out, then the exact check of the document's own share."""
+    return repetition.flag_repetition(table(spark, d, "documents")).where("verdict <> 'clean'").where("fails").select("doc_id")
+
+
+def p8_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.flag_repetition(table(spark, d, "documents")).select("doc_id", "verdict")
 
 
 def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
@@ -131,5 +136,5 @@ def p8_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_defect_counts, p2_found, p2_word_tables, p2_all_pairs, p3_found, p3_neighbours, p4_found, p4_mix, p4_shares,
-    p5_found, p5_report, p5_coverage, p6_packing, p6_fill, p7_found, p7_leaks, p7_clean, p8_found, p8_repetition, p8_hosts,
+    p5_found, p5_report, p5_coverage, p6_packing, p6_fill, p7_found, p7_leaks, p7_clean, p8_found, p8_verdicts, p8_repetition, p8_hosts,
 )}

@@ -88,11 +88,13 @@ def host_rates(measured: DataFrame, *, max_rate: float = 0.2) -> DataFrame:
 
 
 def flag_repetition(docs: DataFrame, *, max_rate: float = 0.2, **options) -> DataFrame:
-    """The rows of :func:`repeated_share` with their host's ``shrunk_rate`` and ``host_fails``.
+    """The rows of :func:`repeated_share` with their host's ``shrunk_rate`` and ``host_fails``, and a ``verdict``.
 
-    The measured rows are small (no text); the join with the hosts is left to the planner, which
+    ``verdict`` is 'document' where the document fails itself, 'host' where only its host does, else 'clean'; a filter by it drops
+    repetitive documents and hosts. The measured rows are small (no text); the join with the hosts is left to the planner, which
     broadcasts the host table where it is small and splits hot hosts otherwise.
     """
     measured = cut(repeated_share(docs, **options))  # texts are read once for the three uses below
     rates = host_rates(measured, max_rate=max_rate)
-    return measured.join(rates.select("host", "n_docs", "shrunk_rate", "host_fails"), "host")
+    verdict = F.when(F.col("fails"), "document").when(F.col("host_fails"), "host").otherwise("clean")
+    return measured.join(rates.select("host", "n_docs", "shrunk_rate", "host_fails"), "host").withColumn("verdict", verdict)
