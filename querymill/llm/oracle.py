@@ -27,11 +27,15 @@ tokens AS (SELECT example_id, db_id, source, split, list_sort(list_distinct(rege
     regexp_extract_all(coalesce(sql, ''), '--[^\n]*|/\*(?:[^*]|\*+[^*/])*\**(?:\*/|/|$)|''[^'']*(?:''''[^'']*)*(?:''|$)|"[^"]*(?:"|$)|`[^`]*(?:`|$)|\[[^\]]*(?:\]|$)|[\p{{L}}_][\p{{L}}\p{{N}}_$]*|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?') AS toks FROM one),
 recs AS (SELECT example_id, db_id, source, split, words, list_sort(list_distinct([CASE WHEN x[1] = '''' THEN lower(trim(x[2:-2])) ELSE x END FOR x IN toks IF regexp_matches(x, '(?s)^(?:''.*''|\d.*)$') AND x <> ''''])) AS consts FROM tokens),
 keyed AS (SELECT * FROM recs WHERE len(consts) > 0 AND len(words) > 0 AND db_id IS NOT NULL),
-pairs AS (SELECT t.example_id AS train_id, e.example_id AS eval_id, e.split, e.source AS eval_source, len(list_intersect(t.words, e.words)) AS s, len(t.words) + len(e.words) AS b
+pairs AS (SELECT t.example_id AS train_id, e.example_id AS eval_id, e.split, e.source AS eval_source, list_intersect(t.words, e.words) AS common, len(list_intersect(t.words, e.words)) AS s, len(e.words) AS n, len(t.words) + len(e.words) AS b
     FROM keyed t JOIN keyed e ON t.db_id = e.db_id AND t.consts = e.consts WHERE t.split = 'train' AND e.split IN ('dev', 'test')),
 near AS (SELECT * FROM pairs WHERE s * 10 >= 6 * (b - s))
 """.format(latest=_LATEST)
 
+_COVERED = _WORD_PAIRS + """, w AS (SELECT id, count(DISTINCT x) AS covered FROM (SELECT eval_id AS id, unnest(common) AS x FROM near) GROUP BY 1),
+c AS (SELECT eval_id, any_value(split) AS split, any_value(eval_source) AS source, any_value(n)::INT AS n_words, count(*) AS n_partners, round(max(s) / any_value(n), 6) AS best_coverage, round(any_value(covered) / any_value(n), 6) AS coverage FROM near JOIN w ON eval_id = w.id GROUP BY eval_id)
+"""
+
 _P4 = f"""WITH RECURSIVE {_LATEST},
 train AS (SELECT example_id, lower(trim(coalesce(source, ''))) AS s, lower(trim(coalesce(thinking_mode, ''))) AS m, coalesce(length(instruction), 0) + coalesce(length(response), 0) AS size FROM one WHERE split = 'train'),
 cells AS (SELECT t.source, t.thinking_mode, lower(trim(t.source)) AS s, lower(trim(t.thinking_mode)) AS m, t.target_share, t.max_repeats, count(r.s) AS n_rows, coalesce(sum(r.size), 0)::BIGINT AS size FROM mix_targets t
@@ -90,7 +94,8 @@ ORACLE = {
 SELECT source, thinking_mode, target_share, max_repeats, n_rows, size, round(u, 6) AS uses, coalesce(rows_used, 0) AS rows_used, coalesce(reached_size, 0) AS reached_size, round(coalesce(reached_size, 0) / (SELECT sum(reached_size) FROM k), 6) AS reached_share,
     size * max_repeats < target_share * total AS short FROM base LEFT JOIN k USING (s, m) JOIN uses USING (s, m)""",
     "p5_found": _WORD_PAIRS + "SELECT least(train_id, eval_id) AS id_a, greatest(train_id, eval_id) AS id_b FROM near",
-    "p5_report": _WORD_PAIRS + "SELECT split, lower(trim(coalesce(eval_source, ''))) AS source, count(*) AS n_pairs, count(DISTINCT eval_id) AS n_eval_rows FROM near GROUP BY ALL",
+    "p5_coverage": _COVERED + "SELECT * FROM c",
+    "p5_report": _COVERED + "SELECT split, lower(trim(coalesce(source, ''))) AS source, sum(n_partners)::BIGINT AS n_pairs, count(*) AS n_eval_rows, round(avg(covered / n_words), 6) AS mean_coverage FROM (SELECT * FROM c JOIN w ON eval_id = w.id) GROUP BY ALL",
     "p7_found": _P7,
     "p7_clean": f"WITH hit AS ({_P7}) SELECT doc_type, count(*) AS n_docs FROM documents d ANTI JOIN hit ON d.doc_id = hit.doc_id GROUP BY doc_type",
     "p8_found": _P8 + "SELECT doc_id FROM m WHERE share >= 0.3",

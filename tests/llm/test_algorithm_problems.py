@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from querymill.llm import cooccurrence, mixing, neighbours, overlap
 
@@ -160,21 +161,36 @@ def test_overlaps_match_brute_force(spark):
     df = spark.createDataFrame(rows, "example_id long, db_id string, split string, source string, question string, sql string, ingested_at int").selectExpr("*", "0 AS words", "1 AS jaccard")
     got = [(r["train_id"], r["eval_id"]) for r in overlap.cross_split_pairs(df, threshold=0.6).collect()]
     assert len(got) == len(set(got)) and set(got) == slow_pairs(recs, 0.6)
-    cov = overlap.coverage(overlap.cross_split_pairs(df, threshold=0.6), df)
-    assert cov.count() == len(got) and cov.where("coverage < 0 or coverage > 1").count() == 0
+    lanes = overlap.similar_classes(overlap.classes(overlap.records(df))[1], 0.6, lane=3).count()
+    assert lanes == overlap.similar_classes(overlap.classes(overlap.records(df))[1], 0.6).count() > 0
+    strict = {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_pairs(df, threshold=0.8).collect()}
+    assert strict == slow_pairs(recs, 0.8)
+    cov = overlap.alignment(overlap.cross_split_pairs(df, threshold=0.6), df).collect()
+    assert len(cov) == len(got) and all(0 <= r[c] <= 1 for r in cov for c in ("question_coverage", "sql_coverage"))
+    rows_ = {r["eval_id"]: r for r in overlap.covered_rows(df, threshold=0.6).collect()}
+    words = {r[0]: r[4] for r in recs}
+    for e in {b for _, b in got}:
+        partners = [words[t] for t, x in set(got) if x == e]
+        assert rows_[e]["n_partners"] == len(partners) and abs(rows_[e]["coverage"] - len(words[e] & set().union(*partners)) / len(words[e])) < 1e-12
+    assert len(rows_) == len({b for _, b in got})
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
 
 
-def test_winnowed_minima_keep_every_near_pair():
+def test_winnowed_minima_keep_every_near_pair(spark):
     rng = np.random.default_rng(0)
-    counts = rng.integers(1, 50, overlap.BUCKETS)
-    for _ in range(2_000):
-        common, a, b = (rng.integers(0, 2**40, rng.integers(*n)) for n in ((1, 9), (0, 4), (0, 4)))
-        x, y = np.unique(np.concatenate([common, a])), np.unique(np.concatenate([common, b]))
-        shared = len(np.intersect1d(x, y))
-        if shared >= 0.6 * (len(x) + len(y) - shared):
-            px, py = (h[overlap.winnow(h, np.array([0, len(h)]), counts, 0.6)[0]] for h in (x, y))
-            assert len(np.intersect1d(px, py))
+    rows = []
+    for _ in range(4_000):
+        common, a, b = (rng.integers(0, 2**40, rng.integers(*n)) for n in ((1, 40), (0, 9), (0, 9)))
+        rows.append((np.unique(np.concatenate([common, a])).tolist(), np.unique(np.concatenate([common, b])).tolist()))
+    df = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>")
+    for t in (0.6, 0.8, 0.9):
+        both = F.size(F.array_intersect("x", "y"))
+        near = df.where(both >= t * (F.size("x") + F.size("y") - both))
+        fx, fy = overlap.fingerprints(F.col("x"), t), overlap.fingerprints(F.col("y"), t)
+        assert near.count() > 100 and near.where(~F.arrays_overlap(fx, fy)).count() == 0
+    # wide windows select fewer than all
+    long_ = df.where("size(x) > 30")
+    assert long_.agg(F.avg(F.size(overlap.fingerprints(F.col("x"), 0.9)) / F.size("x"))).first()[0] < 0.6
 
 
 def test_chain():
