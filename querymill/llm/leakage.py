@@ -6,17 +6,24 @@ be neighbours in some item. Those stretches alone enter the shard's suffix array
 two words or more), every item suffix is searched in it by bisection, and the suffixes with a match of
 the wanted length give the document, the item, the place and the longest verbatim match. Documents
 never move; only matches leave a shard.
+
+Items are indexed in blocks of a bounded number of words, each by one task and once; the driver hands the blocks on, one after another. Where there
+are several blocks, the corpus is still read once: a bit map of all items' word pairs, of fixed size, picks the stretches that can match any
+block, and these are searched block by block.
 """
 
 from __future__ import annotations
 
+import pickle
+from zlib import crc32
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querymill.llm.words import WORD, batches_of
-from querymill.runtime import bounded_rows
+from querymill.llm.words import WORD, batches_of, mix64
+from querymill.runtime import cut
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -128,56 +135,139 @@ class ItemIndex:
         return pd.DataFrame({"row": row, "item": item, "doc_word": at - begin[row], "item_word": item_at - item_begin, "n_words": length})
 
 
+BITS = 1 << 27
+PART = 32 << 20
+
+
+def word_codes(texts, known: dict):
+    """(codes, starts): a 32-bit code of each word of all texts, and where each text begins. ``known`` keeps the codes of words seen."""
+    counts, parts = [0], []
+    for text in texts:
+        words = WORD.findall(text.lower()) if text else ()
+        counts.append(len(words))
+        for w in words:
+            if w not in known:
+                if len(known) > 1_000_000:
+                    known.clear()
+                known[w] = crc32(w.encode("utf-8", "surrogatepass"))
+        parts.append(np.fromiter((known.get(w) or crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.cumsum(counts)
+
+
+def pair_bits(codes: np.ndarray) -> np.ndarray:
+    """The place in the bit map of each pair of neighbouring codes."""
+    return (mix64(codes[:-1] * np.uint64(0x9E3779B1) ^ (codes[1:] << np.uint64(31))) % np.uint64(BITS)).astype(np.int64)
+
+
+def item_blocks(items: DataFrame, words: int, block_words: int) -> DataFrame:
+    """``block, part, index, pairs``: the indexes of blocks of items, pickled and cut into parts, and the places of their word pairs in the bit map.
+
+    A block has about ``block_words`` words, or one item if that is longer; items are dealt to blocks by hash.
+    """
+    total = items.agg(F.sum(F.length("t") / 4 + 1)).first()[0] or 0
+    blocks = max(1, int(-(-total // block_words)))
+
+    def build(key, pdf):
+        pdf = pdf.sort_values(["i", "t"])
+        raw = pickle.dumps(ItemIndex(list(zip(pdf["i"].tolist(), pdf["t"])), words))
+        codes, starts = word_codes(pdf["t"], {})
+        inside = np.ones(max(len(codes) - 1, 0), bool)
+        inside[starts[1:-1][(starts[1:-1] > 0) & (starts[1:-1] < len(codes))] - 1] = False
+        bits = np.unique(pair_bits(codes)[inside]) if len(codes) > 1 else np.zeros(0, np.int64)
+        parts = range(0, len(raw), PART)
+        return pd.DataFrame({"block": np.int32(key[0]), "part": np.arange(len(parts), dtype=np.int32), "index": [raw[i : i + PART] for i in parts], "pairs": [bits.astype("<i4").tobytes() if i == 0 else b"" for i in parts]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("int"))
+    return cut(dealt.groupBy("block").applyInPandas(build, "block int, part int, index binary, pairs binary"))
+
+
+def stretches(docs: DataFrame, bits, words: int, batch_chars: int) -> DataFrame:
+    """``doc_id, version, text, first``: runs of at least ``words`` words of a document whose neighbours may all be neighbours in an item; ``first`` is their place in words."""
+
+    def run(frames):
+        on, known = bits.value, {}
+        for pdf in batches_of(frames, batch_chars):
+            texts = pdf["text"].tolist()
+            codes, starts = word_codes(texts, known)
+            if len(codes) < words:
+                continue
+            place = pair_bits(codes)
+            linked = (on[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+            ends = starts[1:-1]
+            linked[ends[(ends > 0) & (ends < len(codes))] - 1] = False
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8)))
+            first, last = edge[::2], edge[1::2]
+            keep = last - first + 1 >= words
+            first, last = first[keep], last[keep]
+            if not len(first):
+                continue
+            doc = np.searchsorted(starts, first, "right") - 1
+            split = {d: WORD.findall(texts[d].lower()) for d in np.unique(doc)}
+            own = first - starts[doc]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[doc], "version": pdf["version"].to_numpy()[doc], "text": [" ".join(split[d][a : a + n]) for d, a, n in zip(doc, own, last - first + 1)], "first": own})
+
+    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version long, text string, first long")
+
+
 def leaked_passages(docs: DataFrame, items: DataFrame, *, words: int = 12, id_col: str = "doc_id", text_col: str = "text",
-                    item_col: str = "item_id", item_text_col: str = "text", max_items: int = 200_000,
-                    block_words: int = 2_000_000, batch_chars: int = 8_000_000) -> DataFrame:
-    """``doc_id, item_id, n_matches, longest_words, doc_word, item_word``: one row per document row and item it leaks.
+                    item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000, batch_chars: int = 8_000_000) -> DataFrame:
+    """``doc_id, item_id, n_matches, longest_words, doc_word, item_word``: one row per document id and item it leaks.
 
     ``longest_words`` is the length of the longest verbatim match, ``doc_word`` and ``item_word`` its
-    first place in words from 0. A match has at least ``words`` words in a row, compared in lower case.
-    Items are a stated query set: they are read to the driver up to ``max_items`` rows (beyond that
-    TooLarge is raised) and searched in blocks of about ``block_words`` words, each block over all
-    documents. Null or short items match nothing; null and empty documents have no row; equal items
+    first place in words from 0. A match has at least ``words`` words in a row (two or more), compared in lower case.
+    Items may be any number; their index is made in blocks of about ``block_words`` words. Null or short items match nothing; null and empty documents have no row; equal items
     each have their own rows; a document row that is repeated whole has its rows once.
     """
-    rows = bounded_rows(items.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t"), max_items, "the table of held-out items")
-    blocks, size = [[]], 0
-    for r in rows:
-        n = len(r["t"]) // 4 + 1
-        if blocks[-1] and size + n > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["t"]))
-        size += n
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    known = items.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null").distinct()
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("version", F.xxhash64("text"))
     doc_kind, item_kind = src.schema["doc_id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, n_matches long, longest_words long, doc_word long, item_word long"
-    sc = docs.sparkSession.sparkContext
+    schema = f"doc_id {doc_kind}, item_id {item_kind}, n_matches long, longest_words long, doc_word long, item_word long, version long, first long"
+    spark = docs.sparkSession
+    shelf = item_blocks(known, words, block_words)
+    blocks = sorted(r["block"] for r in shelf.select("block").distinct().collect())  # as many as there are blocks
 
-    def search(block):
+    def search(index, rows):
         def run(frames):
-            index = ItemIndex(block.value, words)
-            ids = np.array(index.ids, dtype=object)
+            own = index.value
+            ids = np.array(own.ids, dtype=object)
             for pdf in batches_of(frames, batch_chars):
-                hits = index.matches(pdf["text"])
+                hits = own.matches(pdf["text"])
                 if hits.empty:
                     continue
                 hits["doc_id"], hits["item_id"] = pdf["doc_id"].to_numpy()[hits["row"]], ids[hits["item"]]
-                hits = hits.sort_values(["doc_id", "item_id", "n_words", "doc_word", "item_word"], ascending=[True, True, False, True, True])
-                best = hits.groupby(["doc_id", "item_id"], sort=False).agg(n_matches=("n_words", "size"), longest_words=("n_words", "first"), doc_word=("doc_word", "first"), item_word=("item_word", "first")).reset_index()
+                hits["doc_word"] += pdf["first"].to_numpy()[hits["row"]]
+                hits = hits.sort_values(["doc_id", "item_id", "row", "n_words", "doc_word", "item_word"], ascending=[True, True, True, False, True, True])
+                best = hits.groupby(["doc_id", "item_id", "row"], sort=False).agg(n_matches=("n_words", "size"), longest_words=("n_words", "first"), doc_word=("doc_word", "first"), item_word=("item_word", "first")).reset_index()
                 best["item_id"] = best["item_id"].infer_objects()
-                yield best
-
-        return src.mapInPandas(run, schema)
-
-    out = None
-    for b in blocks:
-        part = search(sc.broadcast(b))
-        out = part if out is None else out.unionByName(part)
-    # one row per pair also where a document's rows are repeated or an id has several texts
-    return out.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("longest_words", "n_matches", "doc_word", "item_word")).alias("m")
-    ).select("doc_id", "item_id", "m.n_matches", "m.longest_words", "m.doc_word", "m.item_word")
+                best["version"], best["first"] = pdf["version"].to_numpy()[best["row"]], pdf["first"].to_numpy()[best["row"]]
+                yield best.drop(columns="row")
+
+        return rows.mapInPandas(run, schema)
+
+    def fetched(block):
+        """One block, which is bounded, by way of the driver; its places in the bit map."""
+        parts = sorted(shelf.where(F.col("block") == block).collect(), key=lambda r: r["part"])
+        return spark.sparkContext.broadcast(pickle.loads(b"".join(r["index"] for r in parts))), np.frombuffer(b"".join(r["pairs"] for r in parts), "<i4")
+
+    if len(blocks) > 1:
+        on, indexes = np.zeros(BITS >> 3, np.uint8), []
+        for b in blocks:
+            index, bits = fetched(b)
+            np.bitwise_or.at(on, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
+            indexes.append(index)
+        rows = cut(stretches(src, spark.sparkContext.broadcast(on), words, batch_chars))
+    else:
+        indexes, rows = [fetched(b)[0] for b in blocks], src.withColumn("first", F.lit(0).cast("long"))
+    out = spark.createDataFrame([], schema)
+    for i, index in enumerate(indexes):
+        part = search(index, rows)
+        out = part if i == 0 else out.unionByName(part)
+    # the stretches of a text add up, its repeats count once, and of several texts of one id the one with most matches counts
+    order = F.struct("longest_words", -F.col("doc_word"), -F.col("item_word"))
+    best = [F.max("longest_words").alias("longest_words"), F.max_by("doc_word", order).alias("doc_word"), F.max_by("item_word", order).alias("item_word")]
+    each = out.dropDuplicates(["doc_id", "item_id", "version", "first"])
+    per_text = each.groupBy("doc_id", "item_id", "version").agg(F.sum("n_matches").alias("n_matches"), *best)
+    return per_text.groupBy("doc_id", "item_id").agg(F.max("n_matches").alias("n_matches"), *best)
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

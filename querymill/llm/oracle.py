@@ -97,7 +97,7 @@ SELECT source, thinking_mode, target_share, max_repeats, n_rows, size, round(u,
     "p5_coverage": _COVERED + "SELECT * FROM c",
     "p5_report": _COVERED + "SELECT split, lower(trim(coalesce(source, ''))) AS source, sum(n_partners)::BIGINT AS n_pairs, count(*) AS n_eval_rows, round(avg(covered / n_words), 6) AS mean_coverage FROM (SELECT * FROM c JOIN w ON eval_id = w.id) GROUP BY ALL",
     "p7_found": _P7,
-    "p7_clean": f"WITH hit AS ({_P7}) SELECT doc_type, count(*) AS n_docs FROM documents d ANTI JOIN hit ON d.doc_id = hit.doc_id GROUP BY doc_type",
+    "p7_clean": f"WITH hit AS ({_P7}) SELECT doc_id, doc_type FROM documents d ANTI JOIN hit ON d.doc_id = hit.doc_id",
     "p8_found": _P8 + "SELECT doc_id FROM m WHERE share >= 0.3",
     "p8_verdicts": _P8 + _HOSTS + "SELECT doc_id, CASE WHEN share >= 0.3 THEN 'document' WHEN host_fails THEN 'host' ELSE 'clean' END AS verdict FROM m JOIN hosts USING (host)",
     "p8_repetition": _P8 + "SELECT doc_id, n_words, n_repeated, round(share, 6) AS repeated_share FROM m",
