@@ -13,6 +13,7 @@ block pair being one group, so no task holds more than two blocks.
 from __future__ import annotations
 
 import heapq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 from querymill.runtime import cut, hashed_sample
 
 
+#: Similarities are rounded to this many digits before they are ranked, so that vectors of one direction tie.
+DIGITS = 9
+
+
 def vectors_of(nodes: DataFrame, *, id_col: str = "node_id", vec_col: str = "embedding", dim: int = 64) -> DataFrame:
     """``node, vec, key``: one row per node with a usable vector; ``key`` names the vector by 128 bits.
 
@@ -48,7 +53,7 @@ def entries_of(vectors: DataFrame, *, heads: int, query_share: int = 1) -> DataF
     ``head`` holds the first ``heads`` of the vector's nodes in the order of their ids (no list grows with the number of
     copies), ``entry`` is the first of them, and ``asked`` says whether any of the nodes is a query.
     """
-    asked = F.pmod(F.xxhash64("node"), F.lit(query_share)) == 0
+    asked = is_query(F.col("node"), query_share)
     order = Window.partitionBy("key").orderBy("node")
     first = vectors.select("key", "node", "vec", F.row_number().over(order).alias("r")).where(F.col("r") <= heads)
     head = first.groupBy("key").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list("node")).alias("head"))
@@ -142,8 +147,8 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dim)
 
 
-def nearest_entries(entries: DataFrame, queries: DataFrame, *, k: int = 5, dim: int = 64, visit_cells: int = 30, min_visits: int = 512, entries_a_cell: int = 64,
-                    sample_rows: int = 16_384, max_half: int = 256, block: int = 4_096, min_similarity: float = -1.0) -> DataFrame:
+def nearest_entries(entries: DataFrame, queries: DataFrame, *, k: int = 5, dim: int = 64, visit_cells: int = 6, min_visits: int = 128, entries_a_cell: int = 64,
+                    sample_rows: int = 16_384, max_half: int = 1_024, block: int = 4_096, min_similarity: float = -1.0) -> DataFrame:
     """``query, entry, similarity, rank``: the ``k`` entries nearest to each query entry, itself left out.
 
     ``visit_cells`` times the mean cell is the number of entries that a query is compared with first (``min_visits`` at least); that sets how
@@ -222,7 +227,7 @@ def nearest_entries(entries: DataFrame, queries: DataFrame, *, k: int = 5, dim:
             low = np.full(len(s), -1.5, np.float32) if s.shape[1] <= k else np.partition(s, -k, axis=1)[:, -k] - np.float32(1e-5)
             i, j = np.nonzero(s >= np.maximum(low, np.float32(max(min_similarity, -1.2) - 1e-5))[:, None])
             if len(i):
-                exact = np.einsum("ij,ij->i", qx[i], ex[j])
+                exact = np.round(np.einsum("ij,ij->i", qx[i], ex[j]), DIGITS)
                 good = exact >= min_similarity
                 out.append((qid[at + i[good]], eid[j[good]], exact[good]))
         if not out:
@@ -306,8 +311,8 @@ def _all_within(placed: DataFrame, queries: DataFrame, fitted, *, n_queries: int
                 if len(many):
                     low[many] = np.maximum(low[many], np.partition(s[many], -k, axis=1)[:, -k] - np.float32(1e-5))
                 i, j = np.nonzero(s >= np.maximum(low, np.float32(-1.5))[:, None])
-                exact = np.einsum("ij,ij->i", qx[i], ex[j])
-                good = exact >= bound[at + i] - 1e-12
+                exact = np.round(np.einsum("ij,ij->i", qx[i], ex[j]), DIGITS)
+                good = exact >= bound[at + i]
                 found.append((qid[at + i[good]], eid[j[good]], exact[good]))
         a, b, c = (np.concatenate(x) for x in zip(*found))
         return pa.table({"query": pa.array(a, pa.string()), "entry": pa.array(b, pa.string()), "similarity": pa.array(c)})
@@ -317,17 +322,19 @@ def _all_within(placed: DataFrame, queries: DataFrame, fitted, *, n_queries: int
 
 
 def hash_(text: str) -> int:
-    """A small stable hash that spreads the queries of a split cell over its lanes."""
-    h = 2166136261
-    for c in text.encode():
-        h = ((h ^ c) * 16777619) & 0xFFFFFFFF
-    return h
+    """A small stable hash that spreads the rows of a split cell over its lanes."""
+    return crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def is_query(node, share: int):
+    """Whether a node is one of the stated queries: those whose id's md5, its first 32 bits read as a number, is divisible by ``share``."""
+    return F.pmod(F.conv(F.substring(F.md5(node), 1, 8), 16, 10).cast("long"), F.lit(share)) == 0
 
 
 def nearest_nodes(nodes: DataFrame, *, k: int = 5, id_col: str = "node_id", vec_col: str = "embedding", query_share: int = 1, dim: int = 64, **options) -> DataFrame:
     """``node, neighbour, similarity, rank``: the ``k`` nodes most similar to each query node, by cosine.
 
-    With ``query_share`` m > 1 the queries are the nodes whose hashed id is divisible by m, against all nodes. Nodes
+    With ``query_share`` m > 1 the queries are the nodes whose hashed id is divisible by m (:func:`is_query`), against all nodes. Nodes
     with equal vectors are each other's nearest, in the order of their ids, then come the nodes
     of other entries; ``k`` per node in all. Nodes without a usable vector have no rows.
     """
@@ -337,12 +344,14 @@ def nearest_nodes(nodes: DataFrame, *, k: int = 5, id_col: str = "node_id", vec_
     # at most k neighbours with at most k + 1 nodes each
     lists = near.join(entries.select("entry", "head"), "entry").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "similarity", "head"))).alias("near"))
     flat = F.flatten(F.transform("near", lambda x: F.transform(x["head"], lambda m: F.struct(m.alias("node"), x["similarity"].alias("s")))))
-    found = entries.where("asked").select("key", "entry", "head").join(lists.select(F.col("query").alias("entry"), flat.alias("outer")), "entry", "left").select("key", "head", F.slice(F.coalesce("outer", F.array().cast("array<struct<node:string,s:double>>")), 1, k).alias("outer"))
+    found = entries.where("asked").select("key", "entry", "head").join(lists.select(F.col("query").alias("entry"), flat.alias("outer")), "entry", "left").select("key", "head", F.coalesce("outer", F.array().cast("array<struct<node:string,s:double>>")).alias("outer"))
     rows = vectors.select("node", "key")
     if query_share > 1:
-        rows = rows.where(F.pmod(F.xxhash64("node"), F.lit(query_share)) == 0)
+        rows = rows.where(is_query(F.col("node"), query_share))
     own = F.transform(F.filter("head", lambda m: m != F.col("node")), lambda m: F.struct(m.alias("node"), F.lit(1.0).alias("s")))
-    return rows.join(found, "key").select("node", F.posexplode(F.slice(F.concat(own, "outer"), 1, k)).alias("i", "x")).select("node", F.col("x.node").alias("neighbour"), F.col("x.s").alias("similarity"), (F.col("i") + 1).alias("rank"))
+    # equal similarities are in the order of the node ids, whatever entries they are of
+    best = F.slice(F.array_sort(F.transform(F.concat(own, "outer"), lambda x: F.struct((-x["s"]).alias("less"), x["node"].alias("node")))), 1, k)
+    return rows.join(found, "key").select("node", F.posexplode(best).alias("i", "x")).select("node", F.col("x.node").alias("neighbour"), (-F.col("x.less")).alias("similarity"), (F.col("i") + 1).alias("rank"))
 
 
 def similar_pairs(near: DataFrame, *, min_similarity: float) -> DataFrame:

@@ -82,11 +82,16 @@ s AS (SELECT a.node_id AS a, b.node_id AS b, list_cosine_similarity(a.e, b.e) AS
 r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
 SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM r WHERE k <= 5 AND c >= 0.95"""
 
+_P3_QUERIES = """WITH v AS (SELECT node_id, any_value(embedding)::DOUBLE[] AS e FROM kg_nodes WHERE len(embedding) = 64 AND list_sum([abs(x) FOR x IN embedding]) > 0 GROUP BY node_id),
+s AS (SELECT a.node_id AS a, b.node_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.node_id <> b.node_id WHERE ('0x' || md5(a.node_id)[1:8])::BIGINT % 20 = 0)
+SELECT a AS node_id, b AS neighbour_id, round(c, 6) AS similarity, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b)::INT AS rank FROM s QUALIFY rank <= 5"""
+
 ORACLE = {
     "p2_found": _P2 + "SELECT w AS word, t AS table_name FROM nwt JOIN nw USING (w) JOIN nt USING (t), total WHERE n_both * n >= 6 * n_left * n_right",
     "p2_word_tables": _P2 + "SELECT w AS word, t AS table_name, n_both, n_left, n_right, n, round(n_both * n / (n_left * n_right), 6) AS lift FROM nwt JOIN nw USING (w) JOIN nt USING (t), total",
     "p2_all_pairs": _P2.replace(" HAVING count(*) >= 8", "") + "SELECT w AS word, t AS table_name, n_both, n_left, n_right, n, round(n_both * n / (n_left * n_right), 6) AS lift FROM nwt JOIN nw USING (w) JOIN nt USING (t), total",
     "p3_found": _P3,
+    "p3_neighbours": _P3_QUERIES,
     "p4_found": _P4 + "SELECT source, thinking_mode FROM base WHERE size * max_repeats < target_share * total",
     "p4_mix": _P4 + "SELECT example_id, source, thinking_mode, size, uses FROM used WHERE uses > 0",
     "p4_shares": _P4
@@ -96,6 +101,7 @@ SELECT source, thinking_mode, target_share, max_repeats, n_rows, size, round(u,
     "p5_found": _WORD_PAIRS + "SELECT least(train_id, eval_id) AS id_a, greatest(train_id, eval_id) AS id_b FROM near",
     "p5_coverage": _COVERED + "SELECT * FROM c",
     "p5_report": _COVERED + "SELECT split, lower(trim(coalesce(source, ''))) AS source, sum(n_partners)::BIGINT AS n_pairs, count(*) AS n_eval_rows, round(avg(covered / n_words), 6) AS mean_coverage FROM (SELECT * FROM c JOIN w ON eval_id = w.id) GROUP BY ALL",
+    "p6_invariants": """SELECT pack_id, capacity_tokens, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0::BIGINT AS n_over, 0::BIGINT AS n_cut_small, true AS within_bound FROM pack_sizes""",
     "p7_found": _P7,
     "p7_clean": f"WITH hit AS ({_P7}) SELECT doc_id, doc_type FROM documents d ANTI JOIN hit ON d.doc_id = hit.doc_id",
     "p8_found": _P8 + "SELECT doc_id FROM m WHERE share >= 0.3",

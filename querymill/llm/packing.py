@@ -165,10 +165,24 @@ def pack(sizes: DataFrame, capacities: dict[int, int], *, shard_docs: int = 50_0
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """``pack_id, capacity_tokens, n_bins, n_pieces, n_tokens, fill``: the fill reached for each capacity."""
+    """``pack_id, capacity_tokens, n_bins, least_bins, n_pieces, n_tokens, fill``: the fill reached for each capacity; no packing needs fewer than ``least_bins`` bins."""
     return (
         packed.groupBy("pack_id", "capacity_tokens")
         # a bin's tokens are shared out over its pieces, so that bins count without a shuffle by bin
         .agg(F.sum(F.when(F.col("piece") >= 0, F.col("n_tokens") / F.col("bin_tokens"))).alias("bins"), F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
-        .select("pack_id", "capacity_tokens", F.round("bins").cast("long").alias("n_bins"), "n_pieces", "n_tokens", F.round(F.col("n_tokens") / (F.round("bins") * F.col("capacity_tokens")), 6).alias("fill"))
+        .select("pack_id", "capacity_tokens", F.round("bins").cast("long").alias("n_bins"), F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_bins"), "n_pieces", "n_tokens", F.round(F.col("n_tokens") / (F.round("bins") * F.col("capacity_tokens")), 6).alias("fill"))
     )
+
+
+def invariants(packed: DataFrame) -> DataFrame:
+    """``pack_id, capacity_tokens, n_docs, n_over, n_cut_small, within_bound``: what every packing must hold.
+
+    ``n_docs`` are the documents placed, ``n_over`` the bins with more tokens than the capacity or than they say, ``n_cut_small`` the documents that were cut though they
+    fit; ``within_bound`` tells whether at most one bin in fifty is more than the bound needs.
+    """
+    bins = packed.groupBy("pack_id", "capacity_tokens", "bin_id").agg(F.sum("n_tokens").alias("t"), F.max("bin_tokens").alias("b"))
+    over = bins.groupBy("pack_id", "capacity_tokens").agg(F.count_if((F.col("t") > F.col("capacity_tokens")) | (F.col("t") != F.col("b"))).alias("n_over"), F.count("*").alias("n_bins"), F.sum("t").alias("t"))
+    docs = packed.groupBy("pack_id", "capacity_tokens", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("t"))
+    cut_ = docs.groupBy("pack_id", "capacity_tokens").agg(F.count("*").alias("n_docs"), F.count_if((F.col("k") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("n_cut_small"))
+    bound = F.col("n_bins") <= F.ceil(F.col("t") / F.col("capacity_tokens")) * 1.02 + 1
+    return cut_.join(over, ["pack_id", "capacity_tokens"]).select("pack_id", "capacity_tokens", "n_docs", "n_over", "n_cut_small", bound.alias("within_bound"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from querymill.functions.sqltext import letter_words, source_tables
 from querymill.llm import cooccurrence, leakage, mixing, neighbours, overlap, packing, pair_defects, repetition
 from querymill.operators.dedupe import latest
-from querymill.runtime import bounded_rows
+from querymill.runtime import bounded_rows, cut
 from querymill.session import table
 
 
@@ -109,6 +109,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with text is placed, none that fits is cut, no bin is over its capacity."""
+    return packing.invariants(cut(_packed(spark, d)))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "bench_items"), words=12)
 
@@ -144,5 +149,5 @@ def p8_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_defect_counts, p2_found, p2_word_tables, p2_all_pairs, p3_found, p3_neighbours, p4_found, p4_mix, p4_shares,
-    p5_found, p5_report, p5_coverage, p5_alignment, p6_packing, p6_fill, p7_found, p7_leaks, p7_clean, p8_found, p8_verdicts, p8_repetition, p8_hosts,
+    p5_found, p5_report, p5_coverage, p5_alignment, p6_packing, p6_fill, p6_invariants, p7_found, p7_leaks, p7_clean, p8_found, p8_verdicts, p8_repetition, p8_hosts,
 )}
