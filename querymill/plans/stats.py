@@ -108,9 +108,8 @@ def _vectors(spark, d):
 
 def embedding_edges(spark, d):
     """Nodes of one database with a cosine of 0.75 or more."""
-    v = _vectors(spark, d)
-    out = v.select("db_id", F.col("doc_id").alias("a"), S.unit(F.col("vec")).alias("x")).join(v.select("db_id", F.col("doc_id").alias("b"), S.unit(F.col("vec")).alias("y")), "db_id").where("a < b")
-    return out.select("db_id", F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.round(S.dot(F.col("x"), F.col("y")), 6).alias("c")).where("c >= 0.75").select("db_id", "node_a", "node_b", F.least("c", F.lit(0.9)).alias("weight"))
+    out = R.similar_within(_vectors(spark, d), group="db_id", least=0.75)
+    return out.select("db_id", F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.least("score", F.lit(0.9)).alias("weight"))
 
 
 def cosine_topk(spark, d):
