@@ -49,35 +49,39 @@ def ppr_step(state: DataFrame, p: DataFrame, seeds: DataFrame, alpha: float) ->
     return moved.select("query_id", "node_id", (alpha * F.col("r")).alias("r")).unionByName(restart).groupBy("query_id", "node_id").agg(F.sum("r").alias("r"))
 
 
-def ppr_fixed(p: DataFrame, seeds: DataFrame, *, alpha: float = 0.7, rounds: int = 10) -> DataFrame:
-    """``query_id, node_id, r`` after a fixed number of iterations, as one plan cut every few rounds."""
-    state = seeds.select("query_id", "node_id", F.col("s").alias("r"))
-    for i in range(rounds):
-        state = ppr_step(state, p, seeds, alpha)
-        if i % 3 == 2:
-            state = cut(state)
-    return state
-
-
-def ppr(p: DataFrame, seeds: DataFrame, *, alpha: float = 0.7, tol: float = 1e-6, max_rounds: int = 100) -> DataFrame:
-    """The same until the largest change of any query's ranks (L1 per node) is below ``tol``; seeds' own weights where that isn't reached."""
+def ppr(p: DataFrame, seeds: DataFrame, *, alpha: float = 0.7, tol: float = 1e-6, max_rounds: int = 100, fixed: int | None = None) -> DataFrame:
+    """Ranks ``query_id, node_id, r`` by power iteration over tables, for graphs of any size; ``p`` has grp, src, dst, p and ``seeds`` grp, query_id, node_id, s.
+
+    A query stops in the round in which its ranks change by less than ``tol`` a node of its group (L1); one that doesn't stop in ``max_rounds`` has its seeds' weights.
+    Queries stop by themselves, and no other one is touched. ``fixed`` rounds are done whatever the change.
+    """
     p, seeds = cut(p), cut(seeds)
-    state, began = seeds.select("query_id", "node_id", F.col("s").alias("r")), 0
-    while began < max_rounds:
-        before = state
-        for _ in range(5):
-            before = state
-            state = ppr_step(state, p, seeds, alpha)
-        state, began = cut(state), began + 5
-        change = state.alias("a").join(before.alias("b"), ["query_id", "node_id"], "full").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("a.r", F.lit(0.0)) - F.coalesce("b.r", F.lit(0.0)))).alias("l1"), F.count("*").alias("n"))
-        worst = change.agg(F.max(F.col("l1") / F.col("n"))).first()[0]
-        if worst is None or worst < tol:
-            return state
-    return seeds.select("query_id", "node_id", F.col("s").alias("r"))
-
-
-def _iterate(p: pd.DataFrame, seeds: pd.DataFrame, alpha: float, tol: float, max_rounds: int) -> pd.DataFrame:
-    """All queries of one group by power iteration over the group's edges."""
+    ends = p.select("grp", F.explode(F.array("src", "dst")).alias("n")).unionByName(seeds.select("grp", F.col("node_id").alias("n"))).distinct()
+    nodes = cut(seeds.select("grp", "query_id").distinct().join(ends.groupBy("grp").agg(F.count("*").alias("n")), "grp").select("query_id", "n"))
+    p, open_, done = p.select("src", "dst", "p"), seeds.select("query_id", "node_id", "s"), None
+    state = open_.select("query_id", "node_id", F.col("s").alias("r"))
+    for _ in range(fixed or max_rounds):
+        new = cut(ppr_step(state, p, open_, alpha))
+        if fixed:
+            state = new
+            continue
+        change = new.alias("a").join(state.alias("b"), ["query_id", "node_id"], "full").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("a.r", F.lit(0.0)) - F.coalesce("b.r", F.lit(0.0)))).alias("l1"))
+        stopped = cut(change.join(nodes, "query_id").where(F.col("l1") < tol * F.col("n")).select("query_id"))
+        state = new
+        if not stopped.isEmpty():
+            part = new.join(stopped, "query_id", "left_semi")
+            done = part if done is None else done.unionByName(part)
+            open_, state = cut(open_.join(stopped, "query_id", "left_anti")), cut(new.join(stopped, "query_id", "left_anti"))
+            if open_.isEmpty():
+                return done
+    if fixed:
+        return state
+    rest = open_.select("query_id", "node_id", F.col("s").alias("r"))
+    return rest if done is None else done.unionByName(rest)
+
+
+def _iterate(p: pd.DataFrame, seeds: pd.DataFrame, alpha: float, tol: float, max_rounds: int, fixed: int | None) -> pd.DataFrame:
+    """The same for all queries of one group in memory."""
     names, at = np.unique(np.concatenate([p["src"], p["dst"], seeds["node_id"]]).astype(str), return_inverse=True)
     src, dst, start = at[: len(p)], at[len(p) : 2 * len(p)], at[2 * len(p) :]
     weight, out = p["p"].to_numpy(), []
@@ -85,30 +89,34 @@ def _iterate(p: pd.DataFrame, seeds: pd.DataFrame, alpha: float, tol: float, max
         s = np.zeros(len(names))
         np.add.at(s, start[seeds.index.get_indexer(rows.index)], rows["s"].to_numpy())
         r = s
-        for _ in range(max_rounds):
+        for _ in range(fixed or max_rounds):
             moved = np.bincount(dst, r[src] * weight, len(names))
             new = alpha * moved + (1 - alpha * moved.sum()) * s
             done = np.abs(new - r).sum() < tol * len(names)
             r = new
-            if done:
+            if done and not fixed:
                 break
         else:
-            r = s
+            r = r if fixed else s
         keep = r > 0
         out.append(pd.DataFrame({"query_id": q, "node_id": names[keep], "r": r[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "node_id": [], "r": []})
 
 
-def ppr_by_group(p: DataFrame, seeds: DataFrame, *, alpha: float = 0.7, tol: float = 1e-6, max_rounds: int = 100, local_edges: int = 500_000) -> DataFrame:
-    """Converged ranks for graphs that fall into groups (databases): ``p`` has grp, src, dst, p and ``seeds`` grp, query_id, node_id, s.
+def ppr_by_group(p: DataFrame, seeds: DataFrame, *, alpha: float = 0.7, tol: float = 1e-6, max_rounds: int = 100, fixed: int | None = None, local_edges: int = 500_000) -> DataFrame:
+    """Ranks as :func:`ppr` gives them, for graphs that fall into groups (databases).
 
-    Where every group has at most ``local_edges`` edges (and seeds), each is solved by one task; larger graphs take the loop over DataFrames.
+    A group of at most ``local_edges`` edges and seeds is solved by one task; the larger ones, each by itself, take the loop over tables. Both follow one rule.
     """
-    largest = p.groupBy("grp").count().unionByName(seeds.groupBy("grp").count()).agg(F.max("count")).first()[0] or 0
-    if largest > local_edges:
-        return ppr(p.select("src", "dst", "p"), seeds.select("query_id", "node_id", "s"), alpha=alpha, tol=tol, max_rounds=max_rounds)
+    sizes = p.groupBy("grp").count().unionByName(seeds.groupBy("grp").count()).groupBy("grp").agg(F.sum("count").alias("n"))
+    large = cut(sizes.where(F.col("n") > local_edges).select("grp"))
     kind = seeds.schema["query_id"].dataType.simpleString()
-    return seeds.groupBy("grp").cogroup(p.groupBy("grp")).applyInPandas(lambda s, e: _iterate(e, s, alpha, tol, max_rounds), f"query_id {kind}, node_id string, r double")
+    solve = lambda q, e: q.groupBy("grp").cogroup(e.groupBy("grp")).applyInPandas(lambda s, e: _iterate(e, s, alpha, tol, max_rounds, fixed), f"query_id {kind}, node_id string, r double")
+    if large.isEmpty():
+        return solve(seeds, p)
+    big = lambda x: x.join(large, "grp", "left_semi")
+    rest = lambda x: x.join(large, "grp", "left_anti")
+    return solve(rest(seeds), rest(p)).unionByName(ppr(big(p), big(seeds), alpha=alpha, tol=tol, max_rounds=max_rounds, fixed=fixed))
 
 
 def ranked(scores: DataFrame, *, threshold: float = 0.0, cap: int = 20) -> DataFrame:

@@ -92,20 +92,21 @@ def _seeds(spark, d):
     return G.personalization(n.join(deg, "node_id").select(F.col("db_id").alias("query_id"), "node_id", "score"))
 
 
-def _ppr(spark, d):
-    return G.ppr_fixed(G.cut(G.transitions(_edges(spark, d))), G.cut(_seeds(spark, d)), rounds=8)
+def _grouped(spark, d, seeds):
+    """(transitions, seeds) with their database as group."""
+    n = _nodes(spark, d).select(F.col("node_id").alias("src"), F.col("db_id").alias("grp"))
+    return G.transitions(_edges(spark, d)).join(n, "src").select("grp", "src", "dst", "p"), seeds.withColumn("grp", F.col("query_id"))
 
 
 def ppr_fixed_k(spark, d):
-    return _ppr(spark, d).select("query_id", "node_id", F.round("r", 8).alias("score"))
+    out = G.ppr_by_group(*_grouped(spark, d, _seeds(spark, d)), fixed=8)
+    return out.select("query_id", "node_id", F.round("r", 8).alias("score"))
 
 
 def ppr_converged(spark, d):
-    """Mass per query after convergence (1 for every query)."""
-    n = _nodes(spark, d).select("node_id", F.col("db_id").alias("grp"))
-    p = G.transitions(_edges(spark, d)).join(n, F.col("src") == F.col("node_id")).select("grp", "src", "dst", "p")
-    out = G.ppr_by_group(p, _seeds(spark, d).withColumn("grp", F.col("query_id")))
-    return out.groupBy("query_id").agg(F.round(F.sum("r"), 4).alias("mass"))
+    """Ranks after convergence, to five digits."""
+    out = G.ppr_by_group(*_grouped(spark, d, _seeds(spark, d)), tol=1e-9)
+    return out.select("query_id", "node_id", F.round("r", 5).alias("score")).where("score > 0")
 
 
 def _hits(spark, d):
@@ -198,7 +199,7 @@ ORACLE = {
     "graph_stats": f"WITH {_N}, {_E} SELECT 'edge ' || edge_type AS kind, count(*) AS n, round(avg(weight), 6) AS mean_weight FROM e GROUP BY edge_type UNION ALL SELECT 'node ' || node_type, count(*), round(count(*) FILTER (coalesce(description, '') <> '') / count(*), 6) FROM n GROUP BY node_type",
     "enrichment_summary": f"WITH {_N} SELECT db_id, count(*) AS n_nodes, count(*) FILTER (coalesce(description, '') <> '') AS n_described, count(*) FILTER (coalesce(len(synonyms), 0) > 0) AS n_with_synonyms, count(*) FILTER (len(embedding) > 0) AS n_embedded FROM n GROUP BY db_id",
     "ppr_fixed_k": _PPR + " SELECT query_id, node_id, score FROM f",
-    "ppr_converged": f"WITH {_N}, {_E} SELECT DISTINCT n.db_id AS query_id, 1.0::DOUBLE AS mass FROM n SEMI JOIN e ON n.node_id = e.src_id WHERE n.node_type <> 'database'",
+    "ppr_converged": f"WITH {_ppr_sql(45)} SELECT query_id, node_id, round(r, 5) AS score FROM r45 WHERE round(r, 5) > 0",
     "graph_ranked": _HITS + " SELECT * FROM hits",
     "gap_prune": _HITS + ", g AS (SELECT *, rank > 2 AND lag(score) OVER (PARTITION BY query_id ORDER BY rank) > 1.5 * score AS gap FROM hits) SELECT query_id, node_id, score, rank FROM g QUALIFY NOT bool_or(coalesce(gap, false)) OVER (PARTITION BY query_id ORDER BY rank)",
     "fk_bridge": _HITS + """, col AS (SELECT node_id, db_id || '.' || table_name AS parent FROM n WHERE node_type = 'column'), h AS (SELECT * FROM hits SEMI JOIN col USING (node_id)), b AS (SELECT query_id, min(score) / 2 AS s FROM h GROUP BY 1),

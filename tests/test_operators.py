@@ -92,6 +92,17 @@ def test_ranking_metrics(spark):
     assert one(spark, metrics.recall(g, r), **none) == 1.0 and one(spark, metrics.precision(g, r), **none) == 0.0 and one(spark, metrics.ndcg(g, r, 5), **none) == 1.0
 
 
+def test_ppr_one_rule_at_every_size(spark):
+    p = spark.createDataFrame([("a", "x", "y", 1.0), ("a", "y", "x", 1.0), ("b", "u", "v", 0.5), ("b", "u", "w", 0.5), ("b", "v", "u", 1.0), ("b", "w", "u", 1.0)], "grp string, src string, dst string, p double")
+    s = spark.createDataFrame([("a", 1, "x", 1.0), ("b", 2, "u", 1.0), ("b", 3, "w", 0.4), ("b", 3, "v", 0.6)], "grp string, query_id int, node_id string, s double")
+    ranks = lambda df: sorted((r["query_id"], r["node_id"], round(r["r"], 12)) for r in df.collect() if r["r"] > 1e-12)
+    for options in ({"max_rounds": 12, "tol": 1e-3}, {"max_rounds": 2, "tol": 1e-9}, {"fixed": 3}):
+        small = ranks(graph.ppr_by_group(p, s, **options))
+        # the larger group alone, and both, by tables
+        assert small == ranks(graph.ppr_by_group(p, s, local_edges=4, **options)) == ranks(graph.ppr_by_group(p, s, local_edges=0, **options)), options
+    assert ranks(graph.ppr_by_group(p, s, max_rounds=2, tol=1e-9)) == [(1, "x", 1.0), (2, "u", 1.0), (3, "v", 0.6), (3, "w", 0.4)]
+
+
 def test_ppr_against_numpy(spark):
     rng = np.random.default_rng(0)
     e = [(f"n{a}", f"n{b}", float(w)) for a, b, w in zip(rng.integers(0, 12, 40), rng.integers(0, 14, 40), rng.uniform(0.1, 1, 40))]
@@ -108,7 +119,8 @@ def test_ppr_against_numpy(spark):
     for _ in range(200):
         x = r @ m
         r = 0.7 * x + (1 - 0.7 * x.sum()) * v
-    for got in (graph.ppr(p, s), graph.ppr_by_group(p.withColumn("grp", F.lit("d")), s.withColumn("grp", F.lit("d")))):
+    p, s = p.withColumn("grp", F.lit("d")), s.withColumn("grp", F.lit("d"))
+    for got in (graph.ppr(p, s), graph.ppr_by_group(p, s)):
         found = {x["node_id"]: x["r"] for x in got.collect()}
         assert sum(found.values()) == pytest.approx(1, abs=1e-4) and all(found.get(f"n{i}", 0) == pytest.approx(r[i], abs=1e-4) for i in range(14))
 
