@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.operators.dedupe import keep_first
@@ -125,7 +125,7 @@ def ranked(scores: DataFrame, *, threshold: float = 0.0, cap: int = 20) -> DataF
     return scores.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
 
-def gap_pruned(hits: DataFrame, *, ratio: float = 3.0, keep: int = 2) -> DataFrame:
+def gap_pruned(hits: DataFrame, *, ratio: float | Column = 3.0, keep: int = 2) -> DataFrame:
     """Hits before the first fall of the score by more than ``ratio``; the first ``keep`` always stay."""
     order = Window.partitionBy("query_id").orderBy("rank")
     gap = (F.col("rank") > keep) & (F.lag("score").over(order) > ratio * F.col("score"))

@@ -160,9 +160,10 @@ _DEV = EX + rf""", dv AS (SELECT example_id, db_id, unnest(regexp_extract_all(re
     dev AS (SELECT DISTINCT example_id, db_id, lower(trim(regexp_replace(list_last(regexp_extract_all(regexp_replace(h, '(?is)^(?:from|join)\s+', ''), '{_NAME}')), '^["`\[]|["`\]]$', '', 'g'))) AS t FROM dv WHERE regexp_matches(h, '(?is)^(?:from|join)\s+.'))"""
 
 
-def _ppr_sql(rounds: int, alpha: float = 0.7) -> str:
-    """Chained CTEs: r0 .. rN(query_id, node_id, r)."""
-    out = [f"""{_N}, {_E}, w AS (SELECT src_id AS src, dst_id AS dst, sum(weight) AS w FROM e GROUP BY ALL HAVING sum(weight) > 0), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w),
+def _ppr_sql(rounds: int, alpha: float = 0.7, own_seeds: bool = False) -> str:
+    """Chained CTEs: r0 .. rN(query_id, node_id, r); with ``own_seeds`` nodes, edges and seeds stand before them."""
+    p = "w AS (SELECT src_id AS src, dst_id AS dst, sum(weight) AS w FROM e GROUP BY ALL HAVING sum(weight) > 0), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w)"
+    out = [f"{p}, r0 AS (SELECT query_id, node_id, s AS r FROM seeds)"] if own_seeds else [f"""{_N}, {_E}, w AS (SELECT src_id AS src, dst_id AS dst, sum(weight) AS w FROM e GROUP BY ALL HAVING sum(weight) > 0), p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM w),
     c AS (SELECT n.db_id AS query_id, n.node_id, g.score FROM n JOIN (SELECT src_id AS node_id, round(sum(weight), 6) AS score FROM e GROUP BY 1) g USING (node_id) WHERE n.node_type <> 'database'),
     tops AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 5),
     seeds AS MATERIALIZED (SELECT query_id, node_id, greatest(score, 1e-9) / sum(greatest(score, 1e-9)) OVER (PARTITION BY query_id) AS s FROM tops), r0 AS (SELECT query_id, node_id, s AS r FROM seeds)"""]
