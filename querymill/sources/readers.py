@@ -6,7 +6,9 @@ large, JSON lines is the format that can be split.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,8 +21,9 @@ CATALOG = (
 
 
 def existing(paths: list[str]) -> list[str]:
-    """The local paths that exist; paths with a scheme are taken as they are."""
-    return [p for p in paths if "://" in p or os.path.exists(p)]
+    """The local paths that exist, with or without 'file:'; paths with another scheme are taken as they are."""
+    local = lambda p: re.sub(r"^file:(?://)?(?=/)", "", p)
+    return [p for p in paths if "://" in local(p) or os.path.exists(local(p))]
 
 
 def json_array(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> DataFrame:
@@ -111,3 +114,16 @@ def distinct_values(df: DataFrame, column: str, limit: int) -> DataFrame:
     if column not in df.columns:
         return df.sparkSession.createDataFrame([], "value string")
     return df.select(F.trim(F.col(column).cast("string")).alias("value")).where("value is not null").distinct().orderBy("value").limit(limit)
+
+
+def _saved(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/index", wholetext=True).first()[0])
+
+
+def saved_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that ``save_tables`` wrote."""
+    return {n: spark.read.parquet(f"{path}/{n}") for n in _saved(spark, path)["tables"]}
+
+
+def saved_parameters(spark: SparkSession, path: str) -> dict:
+    return _saved(spark, path)["parameters"]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -23,6 +24,20 @@ def fingerprint(*parts: object) -> str:
     return hashlib.sha256("|".join(str(p) for p in parts).encode()).hexdigest()[:16]
 
 
+def fingerprint_column(*parts) -> Column:
+    """The same for columns, row by row."""
+    return F.substring(F.sha2(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]), 256), 1, 16)
+
+
+def save_tables(tables: dict[str, DataFrame], path: str, parameters: dict | None = None) -> None:
+    """Tables that belong together (nodes and edges of a graph, a matrix) as parquet under one folder, with the parameters they were made with."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    index = {"tables": sorted(tables), "parameters": parameters or {}}
+    spark.createDataFrame([(json.dumps(index, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/index")
+
+
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, *, skip_existing: bool = False) -> None:
     """Adds rows to a parquet index by key: new rows replace old ones, or only unknown keys are appended."""
     try:
