@@ -29,13 +29,6 @@ def valid_thinking(spark, d):
     return ex.select("example_id", mode.alias("mode"))
 
 
-def formatted(spark, d):
-    """Prompt and answer texts of rows whose answer thinks or doesn't, as md5."""
-    ex = examples(spark, d, "instruction", "reasoning", "sql").where("instruction is not null and sql is not null")
-    answer = F.concat(F.lit("<think>\n"), F.coalesce("reasoning", F.lit("")), F.lit("\n</think>\n\n```sql\n"), F.trim("sql"), F.lit("\n```"))
-    return ex.select("example_id", F.md5(answer).alias("answer_md5"), F.length(F.to_json(F.struct(F.lit("a").alias("role")))).alias("json_chars"))
-
-
 def shuffled(spark, d):
     """A seeded order: rows sorted by a hash of their key, as a distributed sort."""
     ex = examples(spark, d, "split").where("split = 'dev'")
@@ -150,7 +143,7 @@ def hashed_results(spark, d):
 
 
 QUERIES = {f"train_{f.__name__}": f for f in (
-    valid_thinking, formatted, shuffled, noise_tables, multitask, context_fallback, open_examples, distributions, rewards, composite_reward,
+    valid_thinking, shuffled, noise_tables, multitask, context_fallback, open_examples, distributions, rewards, composite_reward,
 )} | {f"exec_{f.__name__}": f for f in (error_classes, executed, voted, retried, hashed_results)}
 
 #: Statements that fail fail in any engine; the error's class is the truth of those.
@@ -174,7 +167,6 @@ _CNT = "len(regexp_extract_all(coalesce(raw_output, ''), '{}'))"
 ORACLE = {
     "train_valid_thinking": f"""WITH {EX} SELECT example_id, CASE WHEN regexp_matches(sql, '{T.COMPLEX_SQL}') OR {_B.format("example_id::VARCHAR")} < 75 THEN 'thinking' ELSE 'direct' END AS mode FROM ex
         WHERE trim(coalesce(question, '')) <> '' AND regexp_matches(coalesce(sql, ''), '(?i)^\\s*(SELECT|WITH|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)\\b')""",
-    "train_formatted": f"WITH {EX} SELECT example_id, md5('<think>' || chr(10) || coalesce(reasoning, '') || chr(10) || '</think>' || chr(10) || chr(10) || '```sql' || chr(10) || trim(sql) || chr(10) || '```') AS answer_md5, 12 AS json_chars FROM ex WHERE instruction IS NOT NULL AND sql IS NOT NULL",
     "train_shuffled": f"WITH {EX} SELECT example_id, md5('42|' || example_id) AS shuffle_key FROM ex WHERE split = 'dev'",
     "train_noise_tables": f"""WITH {EX}, g AS (SELECT example_id, db_id, coalesce([t FOR t IN regexp_extract_all(lower(sql), '(?:from|join)\\s+([a-z0-9_]+)', 1)], []) AS gold FROM ex WHERE split = 'dev'), t AS (SELECT DISTINCT db_id, lower(table_name) AS table_name FROM cat_columns),
         r AS (SELECT example_id, table_name, count(*) OVER (PARTITION BY example_id) AS n, row_number() OVER (PARTITION BY example_id ORDER BY md5('42|' || example_id || '|' || table_name), table_name) AS r FROM g JOIN t USING (db_id) WHERE NOT list_contains(gold, table_name)) SELECT example_id, table_name FROM r WHERE r <= floor(n * 0.5)""",
