@@ -141,9 +141,71 @@ def failure_categories(spark, d):
     return _runs(spark, d).groupBy("run_id", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _difficulty():
+    """Stands for a label that runs don't carry: by gold tables and by what the gold statement uses."""
+    n = F.size("gold")
+    return F.when((n >= 3) | ((n >= 2) & F.col("complex")), "challenging").when((n >= 2) | F.col("complex"), "moderate").otherwise("simple")
+
+
+def _labelled(spark, d):
+    hard = _runs(spark, d).select("run_id", "example_id", T.is_complex_sql(F.col("gold_sql")).alias("complex"))
+    return _scored(spark, d).join(hard, ["run_id", "example_id"]).withColumn("difficulty", _difficulty())
+
+
+def by_difficulty(spark, d):
+    return _labelled(spark, d).groupBy("difficulty").agg(*[v.alias(k) for k, v in _means().items()])
+
+
+def database_means(spark, d):
+    """Means of each database, F1 from the mean recall and precision."""
+    g, r = F.col("gold"), F.col("got")
+    x = _labelled(spark, d).withColumns({"ndcg15": M.ndcg(g, r, 15), "rr": M.reciprocal_rank(g, r), "hit3": M.hit_at(g, r, 3), "hit5": M.hit_at(g, r, 5), "tokens": F.col("n_tokens").cast("double"), "gold_n": F.size("gold").cast("double"), "extra": F.size(F.array_except("got", "gold")).cast("double")})
+    names = ("recall", "precision", "ndcg15", "rr", "hit3", "hit5", "tokens", "gold_n", "extra")
+    out = x.groupBy("db_id").agg(F.count("*").alias("n"), *[F.avg(F.col(c)).alias(c) for c in names], F.avg(F.coalesce(F.col("ex").cast("double"), F.lit(0.0))).alias("ex"))
+    return out.select("db_id", "n", *[F.round(c, 6).alias(c) for c in (*names, "ex")], F.round(M.f1(F.col("recall"), F.col("precision")), 6).alias("f1"))
+
+
+def column_scores(spark, d):
+    """Recall and precision of (table, column) pairs: gold ones are columns of gold tables that the gold statement names, retrieved ones all of retrieved tables."""
+    cat = table(spark, d, "cat_columns").select("db_id", F.lower("table_name").alias("t"), F.lower("column_name").alias("c")).distinct()
+    ids = _runs(spark, d).select("run_id", "example_id", T.matches(F.lower("gold_sql"), "[a-z_][a-z0-9_]*").alias("ids"))
+    x = _rows(spark, d).join(ids, ["run_id", "example_id"]).join(cat, "db_id")
+    gold = F.array_contains("gold", F.col("t")) & F.array_contains("ids", F.col("c"))
+    got = F.array_contains("got", F.col("t"))
+    per = x.groupBy("run_id", "example_id").agg(F.count_if(gold).alias("g"), F.count_if(got).alias("r"), F.count_if(gold & got).alias("b"))
+    share = lambda a, b, none: F.when(b > 0, a / b).otherwise(none)
+    return per.groupBy("run_id").agg(F.round(F.avg(share(F.col("b"), F.col("g"), 1.0)), 6).alias("column_recall"), F.round(F.avg(share(F.col("b"), F.col("r"), 0.0)), 6).alias("column_precision"), F.count("*").alias("n"))
+
+
+def orphaned_references(spark, d):
+    """Of references from a retrieved table to a gold one, the share whose target wasn't retrieved; 0 without any."""
+    fk = table(spark, d, "cat_fks").select("db_id", F.lower("from_table").alias("a"), F.lower("to_table").alias("b"))
+    x = _rows(spark, d).join(fk, "db_id").where(F.array_contains("got", F.col("a")) & F.array_contains("gold", F.col("b")))
+    per = x.groupBy("run_id", "example_id").agg(F.avg((~F.array_contains("got", F.col("b"))).cast("double")).alias("o"))
+    return _rows(spark, d).join(per, ["run_id", "example_id"], "left").groupBy("run_id").agg(F.round(F.avg(F.coalesce("o", F.lit(0.0))), 6).alias("orphaned_rate"), F.count("o").alias("n_with_references"))
+
+
+def context_use(spark, d):
+    """How much of the contexts is needed: tokens of a context that holds the gold tables alone / tokens given, and the share of tables that are extra; contexts over 2,000 tokens are counted."""
+    cols = table(spark, d, "cat_columns").groupBy("db_id", F.lower("table_name").alias("t")).agg((F.count("*") + 2).alias("k"))
+    gold = _rows(spark, d).select("run_id", "example_id", "db_id", F.explode("gold").alias("t")).join(cols, ["db_id", "t"]).groupBy("run_id", "example_id").agg(F.sum("k").alias("need"))
+    x = _rows(spark, d).join(gold, ["run_id", "example_id"], "left")
+    recall = F.when(F.col("n_tokens") > 0, F.coalesce("need", F.lit(0)) / F.col("n_tokens")).otherwise(1.0)
+    extra = F.when(F.size("got") > 0, F.size(F.array_except("got", "gold")) / F.size("got")).otherwise(0.0)
+    return x.groupBy("run_id").agg(F.round(F.avg(recall), 6).alias("token_recall"), F.round(F.avg(extra), 6).alias("redundant_ratio"), F.count_if(F.col("n_tokens") > 2000).alias("over_2000"), F.max("n_tokens").alias("largest"))
+
+
+def extreme_examples(spark, d):
+    """The three largest contexts of each run among those with perfect recall, and among the others."""
+    part = F.when(F.col("recall") == 1, "perfect").otherwise("missed")
+    w = Window.partitionBy("run_id", "part").orderBy(F.col("n_tokens").desc(), "example_id")
+    return _scored(spark, d).withColumn("part", part).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("run_id", "part", "rank", "example_id", "n_tokens")
+
+
 QUERIES = {f"metric_{f.__name__}": f for f in (
     run_rows, retrieval_scores, missed_extra, stratified, f1_by_database, quality_counts, recall_histogram, context_percentiles, retry_totals, running_accuracy,
     role_recall, fk_coverage, exact_matches, worst_examples, run_comparison, failure_categories,
+    by_difficulty, database_means, column_scores, orphaned_references, context_use, extreme_examples,
 )}
 
 _R = """r AS (SELECT * FROM eval_rows QUALIFY row_number() OVER (PARTITION BY run_id, example_id ORDER BY run_at DESC, retry_count DESC NULLS LAST, md5(coalesce(predicted_sql, '')), md5(coalesce(raw_output, '')), ex NULLS FIRST, em NULLS FIRST, recall NULLS FIRST, precision_val NULLS FIRST, correction_applied NULLS FIRST) = 1)"""
@@ -156,6 +218,12 @@ _S = _R + """, t AS (SELECT run_id, example_id, db_id, coalesce(list_sort(list_d
 _COMPLEX = "regexp_matches({}, '" + T.COMPLEX_SQL + "')"
 
 
+_LAB = _S + f""", hard AS (SELECT run_id, example_id, coalesce({_COMPLEX.format('gold_sql')}, false) AS complex FROM r), lab AS (SELECT s.*, CASE WHEN len(gold) >= 3 OR (len(gold) >= 2 AND complex) THEN 'challenging' WHEN len(gold) >= 2 OR complex THEN 'moderate' ELSE 'simple' END AS difficulty FROM s JOIN hard USING (run_id, example_id))"""
+_RANKED = """g AS (SELECT *, list_sum([CASE WHEN list_contains(gold, x) THEN 1 / log2(i + 1) ELSE 0 END FOR x, i IN got[1:15]]) AS dcg, list_sum([1 / log2(i + 1) FOR x, i IN gold[1:15]]) AS ideal, list_min([i FOR x, i IN got IF list_contains(gold, x)]) AS first FROM lab),
+    k AS (SELECT *, CASE WHEN len(gold) = 0 THEN 1 ELSE coalesce(dcg, 0) / ideal END AS ndcg15, coalesce(1 / first, 0) AS rr, CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END AS hit3, CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END AS hit5, n_tokens AS tokens, len(gold) AS gold_n, len([x FOR x IN got IF NOT list_contains(gold, x)]) AS extra FROM g)"""
+_MEANS = ", ".join(f"round(avg({c}::DOUBLE), 6) AS {c}" for c in ("recall", "precision", "ndcg15", "rr", "hit3", "hit5", "tokens", "gold_n", "extra"))
+
+
 def _normal(c: str) -> str:
     b = f"""regexp_replace(trim(regexp_replace(regexp_replace({c}, '(''[^'']*''|"[^"]*"|`[^`]*`)|--[^\\n]*|/\\*(?:[^*]|\\*+[^*/])*\\*+/', '\\1 ', 'g'), '\\s+', ' ', 'g')), '[; ]+$', '')"""
     words = ", ".join(f"'{w}'" for w in T.SQL_KEYWORDS)
@@ -163,6 +231,16 @@ def _normal(c: str) -> str:
 
 
 ORACLE = {
+    "metric_by_difficulty": f"WITH {_LAB} SELECT difficulty, count(*) AS n, round(avg(ex::INT::DOUBLE), 6) AS ex, round(avg(em::INT::DOUBLE), 6) AS em, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision FROM lab GROUP BY 1",
+    "metric_database_means": f"WITH {_LAB}, {_RANKED} SELECT db_id, count(*) AS n, {_MEANS}, round(avg(coalesce(ex::INT::DOUBLE, 0)), 6) AS ex, round(CASE WHEN avg(recall) + avg(precision) > 0 THEN 2 * avg(recall) * avg(precision) / (avg(recall) + avg(precision)) ELSE 0 END, 6) AS f1 FROM k GROUP BY db_id",
+    "metric_column_scores": f"""WITH {_S}, i AS (SELECT run_id, example_id, coalesce(regexp_extract_all(lower(gold_sql), '[a-z_][a-z0-9_]*'), []) AS ids FROM r), c AS (SELECT DISTINCT db_id, lower(table_name) AS t, lower(column_name) AS c FROM cat_columns),
+        p AS (SELECT run_id, example_id, count(*) FILTER (list_contains(gold, t) AND list_contains(ids, c)) AS g, count(*) FILTER (list_contains(got, t)) AS r, count(*) FILTER (list_contains(gold, t) AND list_contains(ids, c) AND list_contains(got, t)) AS b FROM s JOIN i USING (run_id, example_id) JOIN c USING (db_id) GROUP BY ALL)
+        SELECT run_id, round(avg(CASE WHEN g > 0 THEN b / g ELSE 1 END), 6) AS column_recall, round(avg(CASE WHEN r > 0 THEN b / r ELSE 0 END), 6) AS column_precision, count(*) AS n FROM p GROUP BY run_id""",
+    "metric_orphaned_references": f"""WITH {_S}, o AS (SELECT run_id, example_id, avg((NOT list_contains(got, lower(to_table)))::INT::DOUBLE) AS o FROM s JOIN cat_fks f USING (db_id) WHERE list_contains(got, lower(from_table)) AND list_contains(gold, lower(to_table)) GROUP BY ALL)
+        SELECT run_id, round(avg(coalesce(o, 0)), 6) AS orphaned_rate, count(o) AS n_with_references FROM s LEFT JOIN o USING (run_id, example_id) GROUP BY run_id""",
+    "metric_context_use": f"""WITH {_S}, c AS (SELECT db_id, lower(table_name) AS t, count(*) + 2 AS k FROM cat_columns GROUP BY ALL), need AS (SELECT run_id, example_id, sum(k) AS need FROM (SELECT run_id, example_id, db_id, unnest(gold) AS t FROM s) JOIN c USING (db_id, t) GROUP BY ALL)
+        SELECT run_id, round(avg(CASE WHEN n_tokens > 0 THEN coalesce(need, 0) / n_tokens ELSE 1 END), 6) AS token_recall, round(avg(CASE WHEN len(got) > 0 THEN len([x FOR x IN got IF NOT list_contains(gold, x)]) / len(got) ELSE 0 END), 6) AS redundant_ratio, count(*) FILTER (n_tokens > 2000) AS over_2000, max(n_tokens) AS largest FROM s LEFT JOIN need USING (run_id, example_id) GROUP BY run_id""",
+    "metric_extreme_examples": f"WITH {_S}, x AS (SELECT *, CASE WHEN recall = 1 THEN 'perfect' ELSE 'missed' END AS part FROM s) SELECT run_id, part, row_number() OVER (PARTITION BY run_id, part ORDER BY n_tokens DESC, example_id)::INT AS rank, example_id, n_tokens FROM x QUALIFY rank <= 3",
     "metric_run_rows": f"WITH {_R} SELECT run_id, example_id, run_at, ex, em FROM r",
     "metric_retrieval_scores": f"""WITH {_S}, g AS (SELECT *, list_sum([CASE WHEN list_contains(gold, x) THEN 1 / log2(i + 1) ELSE 0 END FOR x, i IN got[1:15]]) AS dcg, list_sum([1 / log2(i + 1) FOR x, i IN gold[1:15]]) AS ideal, list_min([i FOR x, i IN got IF list_contains(gold, x)]) AS first FROM s)
         SELECT run_id, example_id, array_to_string(gold, ' ') AS gold_tables, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1, round(CASE WHEN len(gold) = 0 THEN 1 ELSE coalesce(dcg, 0) / ideal END, 6) AS ndcg15, round(coalesce(1 / first, 0), 6) AS rr,
