@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "stats", "graph", "linking", "metrics", "training", "records", "relational", "streaming", "sources")
+MODULES = ("text", "stats", "graph", "edges", "linking", "metrics", "training", "records", "relational", "streaming", "sources")
 
 
 def queries() -> dict:
