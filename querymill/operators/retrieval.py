@@ -82,7 +82,7 @@ def bm25(queries: DataFrame, docs: DataFrame, *, k: int = 5, k1: float = 1.5, b:
     return top_k(found.select("query_id", "doc_id", F.round("score", 6).alias("score")), k)
 
 
-def _scorer(asked, same: list[str], k: int, pairs_at_once: int = 4_000_000):
+def _scorer(asked, same: list[str], k: int, cells: int = 2_000_000):
     """A function over batches of (doc_id, same, term, w) rows, those of a document together: the ``k`` best documents of each query and batch."""
 
     def run(frames):
@@ -97,12 +97,22 @@ def _scorer(asked, same: list[str], k: int, pairs_at_once: int = 4_000_000):
         start = np.searchsorted(code[order], np.arange(len(terms) + 1))
 
         def best(part):
-            ids, doc = np.unique(part["doc_id"].to_numpy(), return_inverse=True)
+            change = np.flatnonzero(np.diff(part["doc_id"].factorize()[0])) + 1
+            first = np.concatenate([[0], change])
+            at_once = max(1, cells // max(len(queries), 1))
+            for i in range(0, len(first), at_once):
+                end = first[i + at_once] if i + at_once < len(first) else len(part)
+                yield dense(part.iloc[first[i] : end], first[i : i + at_once] - first[i])
+
+        def dense(part, first):
+            """Scores of all queries for a few documents, added up term by term."""
+            n = len(first)
+            ids, doc = part["doc_id"].to_numpy()[first], np.repeat(np.arange(n), np.diff(np.append(first, len(part))))
             t = part["term"].map(terms).to_numpy()
             many = start[t + 1] - start[t]
-            g = np.array([group.get(x, -1) for x in zip(*[part[c] for c in same])], np.int64) if same else np.zeros(len(part), np.int64)
-            w, cuts = part["w"].to_numpy(), np.flatnonzero(np.diff(np.cumsum(many) // pairs_at_once)) + 1
-            keys, sums = [], []
+            g = np.array([group.get(x, -1) for x in zip(*[part[c] for c in same])], np.int64) if same else None
+            w, cuts = part["w"].to_numpy(), np.flatnonzero(np.diff(np.cumsum(many) // cells)) + 1
+            score, hit = np.zeros(len(queries) * n), np.zeros(len(queries) * n, bool)
             for rows in np.split(np.arange(len(part)), cuts):
                 m = many[rows]
                 row = np.repeat(rows, m)
@@ -110,19 +120,14 @@ def _scorer(asked, same: list[str], k: int, pairs_at_once: int = 4_000_000):
                 if same:
                     fit = own[at] == g[row]
                     row, at = row[fit], at[fit]
-                key, inverse = np.unique(q[at] * len(ids) + doc[row], return_inverse=True)
-                keys.append(key)
-                sums.append(np.bincount(inverse, w[row] * qf[at], len(key)))
-            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            score = np.bincount(inverse, np.concatenate(sums), len(key))
-            query = key // len(ids)
-            down = np.lexsort((-score, query))
-            query, score, d = query[down], score[down], key[down] % len(ids)
-            first = np.searchsorted(query, query, "left")
+                key = q[at] * n + doc[row]
+                score += np.bincount(key, w[row] * qf[at], len(score))
+                hit[key] = True
+            score = np.where(hit, score, -np.inf).reshape(len(queries), n)
             # scores are rounded later: whatever may tie with the last place stays in
-            last = score[np.minimum(first + k, np.searchsorted(query, query, "right")) - 1]
-            keep = score >= last - 2e-6
-            return pd.DataFrame({"query_id": queries[query[keep]], "doc_id": ids[d[keep]], "score": score[keep]})
+            last = np.partition(score, -k, axis=1)[:, -k] if n > k else np.full(len(queries), -np.inf)
+            i, j = np.nonzero((score >= last[:, None] - 2e-6) & (score > -np.inf))
+            return pd.DataFrame({"query_id": queries[i], "doc_id": ids[j], "score": score[i, j]})
 
         rest = None
         for pdf in frames:
@@ -135,9 +140,9 @@ def _scorer(asked, same: list[str], k: int, pairs_at_once: int = 4_000_000):
                 continue
             end = int(change[-1]) + 1
             rest = pdf.iloc[end:]
-            yield best(pdf.iloc[:end])
+            yield from best(pdf.iloc[:end])
         if rest is not None and len(rest):
-            yield best(rest)
+            yield from best(rest)
 
     return run
 
