@@ -205,3 +205,42 @@ def test_defects_of_planted_pairs(spark):
     got = {r["example_id"]: r["defect"] for r in pair_defects.flag_defects(e, d).collect()}
     assert got == {k: v for k, (_, v) in cases.items() if v}
     assert pair_defects.flag_defects(e.limit(0), d).count() == 0
+
+
+@pytest.mark.filterwarnings("ignore:no labelled prose")
+def test_judge_is_fitted_to_whole_tables(spark):
+    ask, why = "write a query that answers the question about the rows of the table for me", "the rows of the table are read and counted as the question asks"
+    e = spark.range(3_200).selectExpr("id AS example_id", f"'{ask}' AS instruction", "concat('```sql\\nSELECT a', id % 7, ' FROM t\\n```') AS response", "CAST(NULL AS STRING) AS reasoning")
+    long = f"<think>{(why + ' ') * 1_100}</think>\n```sql\nSELECT 1 FROM t\n```"  # over 64,000 characters
+    e = e.union(spark.createDataFrame([(9_999, ask, long, None)], e.schema))
+    # prose only behind many numbers, so that no short stretch of the document has it
+    d = spark.createDataFrame([(1, "7 " * 200_000 + "die Abfrage liest die Tabelle und behält nur die Zeilen nach denen die Frage fragt " * 30, "de"), (2, (why + " ") * 40, "en")], "doc_id long, text string, lang string")
+    j = pair_defects.fit(e, d)
+    state = ("", True, False)
+    assert j.known.tolist() == [True, True, False, False]
+    assert j.text_end.counts[(state,)][0] == 3_201 and j.sql_end.counts[(("from", False), "w")][0] == 3_201
+    assert j.text_end.counts[(("think", False, False),)][1] > 10_000  # every cut of the long answer
+
+
+@pytest.mark.filterwarnings("ignore:no labelled prose")
+def test_fits_to_lists_and_tables_are_equal(spark):
+    english, german = "the query reads the table and keeps the rows that the question asks for because others do not matter", "die Abfrage liest die Tabelle und behält nur die Zeilen nach denen die Frage fragt weil andere nicht wichtig sind"
+    docs = [(t * 3, lang) for t, lang in [(english, "en"), (german, "de"), (german, "en")] * 20]
+    pairs = [(f"write a query that answers the question about {w} in the table", r, None) for i, w in enumerate(["rides", "cities", "names"] * 20) for r in (f"<think>{english} {w}</think>\n```sql\nSELECT {w} FROM t WHERE a > {i}\n```", "I cannot help with this.", "```sql\nSELECT")]
+    a = pair_defects.Judge(docs, pairs)
+    b = pair_defects.Judge(spark.createDataFrame(docs, "text string, lang string").repartition(3), spark.createDataFrame(pairs, "instruction string, response string, reasoning string").repartition(3))
+    assert (a.model.logp == b.model.logp).all() and (a.refusals.logp == b.refusals.logp).all() and a.known.tolist() == b.known.tolist()
+    assert a.usual == b.usual and a.text_end.counts == b.text_end.counts and a.sql_end.counts == b.sql_end.counts
+
+
+def test_cuts_read_like_cut_answers():
+    rng = random.Random(3)
+    bits = ["<think>", "</think>", "```", "```sql\n", "\n", "SELECT a FROM t", "--", "/*", "*/", "(", ";", " the rows ", "'x", "with", "-", "/", "`", "<", " ", "x" * 300, " " * 450]
+    for _ in range(600):
+        r = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        reasoning = r[rng.randrange(9) : rng.randrange(9, 200)] if rng.random() < 0.5 else None
+        slow = []
+        for at in [m.end() for m in pair_defects.TEXT_TOKEN.finditer(r.rstrip())][:-1]:
+            state, tokens = pair_defects.Judge.reading(r[:at], pair_defects.Answer(r[:at]), reasoning)
+            slow.append(("text", state, tuple(tokens[-4:]), False))
+        assert pair_defects.Judge.cuts((None, r, reasoning)) == slow
