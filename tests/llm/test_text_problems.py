@@ -244,3 +244,41 @@ def test_cuts_read_like_cut_answers():
             state, tokens = pair_defects.Judge.reading(r[:at], pair_defects.Answer(r[:at]), reasoning)
             slow.append(("text", state, tuple(tokens[-4:]), False))
         assert pair_defects.Judge.cuts((None, r, reasoning)) == slow
+
+
+def test_counted_cuts_are_the_listed_ones():
+    rng = random.Random(6)
+    bits = ["<think>", "</think>", "```", "````", "```sql\n", "\n", "SELECT a FROM t", "--", "/*", "*/", "(", " the rows ", "'x", "`", "<", " ", "x" * 300, " " * 450, "é٣", "漢字", "\0", "\ud800"]
+    rows = [("", "".join(rng.choice(bits) for _ in range(rng.randrange(16))), None) for _ in range(300)]
+    rows = [(q, r, r[rng.randrange(9) : rng.randrange(9, 200)] if rng.random() < 0.5 else None) for q, r, _ in rows]
+    signs = [("", "<think>" + "".join(map(chr, range(0xF0000, 0xF0000 + 40_000))) + "</think>\nSELECT 1", None)]  # more signs than a code has room for
+    for some in ([], rows, rows + signs + rows[:9]):
+        counts = pair_defects.Cuts()
+        counts.add(some, 3_000)
+        assert counts.counted() == Counter(x for pair in some for x in pair_defects.Judge.cuts(pair))
+
+
+@pytest.mark.filterwarnings("ignore:no labelled prose")
+def test_passes_of_the_fit_read_texts_once(monkeypatch):
+    english, german = "the query reads the table and keeps the rows that the question asks for because others do not matter", "die Abfrage liest die Tabelle und behält nur die Zeilen nach denen die Frage fragt weil andere nicht wichtig sind"
+    docs = [(english, "en"), (german, "de")] * 20
+    pairs = [("write a query that answers the question about rides in the table", f"<think>{english * 20}</think>\n\n```sql\nSELECT a FROM t WHERE a > 1\n```", None)] * 30
+    chars, answers = [], []
+
+    def trigrams(texts, *a):
+        chars.append(sum(map(len, texts)))
+        return take(texts, *a)
+
+    class Answer(pair_defects.Answer):
+        def __init__(self, response):
+            answers.append(1)
+            super().__init__(response)
+
+    take = pair_defects.trigrams
+    monkeypatch.setattr(pair_defects, "trigrams", trigrams)
+    monkeypatch.setattr(pair_defects, "Answer", Answer)
+    pair_defects.Judge(docs, pairs)
+    assert len(answers) <= 5 * len(pairs)
+    labelled = sum(len(pair_defects.prose(t)) for t, _ in docs)
+    paired = sum(len(pair_defects.prompt_prose(q)) + len(pair_defects.Judge.told(Answer(r))) for q, r, _ in pairs)
+    assert sum(chars) == 2 * labelled + 3 * paired
